@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binloom.llm import clusters, overlaps
+from binloom.llm import clusters, distinct, overlaps, packing
 from binloom.session import table, written
 
 
@@ -33,9 +33,40 @@ def p3_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return overlaps.strong_pairs(sets, strong)
 
 
+def p2_distinct(spark: SparkSession, d: str) -> DataFrame:
+    parts = written(distinct.partials(table(spark, d, "bins")), "partials")
+    return distinct.distinct_counts(parts, table(spark, d, "group_sets"))
+
+
+def p2_partials(spark: SparkSession, d: str) -> DataFrame:
+    return distinct.partials(table(spark, d, "bins"))
+
+
+def _layout(spark: SparkSession, d: str) -> DataFrame:
+    things = written(packing.items(table(spark, d, "data_store"), table(spark, d, "bins")), "items")
+    return packing.packed(things, table(spark, d, "hierarchical_binning"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _layout(spark, d).filter("n_tbs > 1").select("user_bin_id", "batch_id")
+
+
+def p4_layout(spark: SparkSession, d: str) -> DataFrame:
+    return _layout(spark, d)
+
+
+def p4_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(_layout(spark, d), table(spark, d, "hierarchical_binning"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_clusters": p1_clusters,
+    "p2_distinct": p2_distinct,
+    "p2_partials": p2_partials,
+    "p4_found": p4_found,
+    "p4_layout": p4_layout,
+    "p4_fill": p4_fill,
     "p3_found": p3_found,
     "p3_overlaps": p3_overlaps,
 }
@@ -51,7 +82,63 @@ _OVERLAPS = """
     FROM k JOIN n p ON p.b = k.a JOIN n q ON q.b = k.b WHERE k >= 0.2 * least(p.n, q.n)
 """
 
+# XXH64 of eight bytes with seed 42, in unsigned 128-bit arithmetic; then level, bit and word.
+_BITMAP = """
+    u AS (
+        SELECT batch_id, strftime(seen_at, '%Y-%m-%d') AS day, lower(trim(sample_group)) AS sample_group,
+               (CASE WHEN value < 0 THEN value::HUGEINT + 18446744073709551616 ELSE value END)::UHUGEINT AS k
+        FROM bins WHERE value IS NOT NULL
+    ),
+    a AS (SELECT * EXCLUDE k, (k * 14029467366897019727) % 18446744073709551616 AS h FROM u),
+    b AS (SELECT * EXCLUDE h, ((h % 8589934592) * 2147483648 + h // 8589934592) * 11400714785074694791 % 18446744073709551616 AS h FROM a),
+    c AS (SELECT * EXCLUDE h, xor(2870177450012600311::UHUGEINT, h) AS h FROM b),
+    e AS (SELECT * EXCLUDE h, (((h % 137438953472) * 134217728 + h // 137438953472) * 11400714785074694791 % 18446744073709551616 + 9650029242287828579) % 18446744073709551616 AS h FROM c),
+    f AS (SELECT * EXCLUDE h, xor(h, h // 8589934592) * 14029467366897019727 % 18446744073709551616 AS h FROM e),
+    g AS (SELECT * EXCLUDE h, xor(h, h // 536870912) * 1609587929392839161 % 18446744073709551616 AS h FROM f),
+    x AS (SELECT * EXCLUDE h, xor(h, h // 4294967296) AS h FROM g),
+    bits AS (
+        SELECT DISTINCT batch_id, day, sample_group, 32 - length(bin((h // 4294967296)::BIGINT)) AS level, (h % 4096)::INT AS bit FROM x
+    )
+"""
+
 SQL = {
+    "p2_partials": f"""
+        WITH {_BITMAP}
+        SELECT batch_id, day, sample_group, (level * 64 + bit // 64)::INT AS slot,
+               (CASE WHEN w >= 9223372036854775808 THEN w::HUGEINT - 18446744073709551616 ELSE w::HUGEINT END)::BIGINT AS word
+        FROM (SELECT batch_id, day, sample_group, level, bit // 64 * 64 AS bit, bit_or(1::UBIGINT << (bit % 64)) AS w FROM bits GROUP BY 1, 2, 3, 4, 5)
+    """,
+    "p2_distinct": f"""
+        WITH {_BITMAP},
+        cells AS (SELECT DISTINCT day, sample_group, level, bit FROM bits),
+        members AS (SELECT DISTINCT set_id, lower(trim(sample_group)) AS sample_group FROM group_sets),
+        scoped AS (
+            SELECT DISTINCT 'day' AS scope, day, NULL::VARCHAR AS sample_group, NULL::VARCHAR AS set_id, level, bit FROM cells
+            UNION ALL SELECT DISTINCT 'group', NULL, sample_group, NULL, level, bit FROM cells
+            UNION ALL SELECT DISTINCT 'day_group', day, sample_group, NULL, level, bit FROM cells
+            UNION ALL SELECT DISTINCT 'set', NULL, NULL, set_id::VARCHAR, level, bit FROM cells JOIN members USING (sample_group)
+            UNION ALL SELECT DISTINCT 'day_set', day, NULL, set_id::VARCHAR, level, bit FROM cells JOIN members USING (sample_group)
+        ),
+        levels AS (SELECT scope, day, sample_group, set_id, level, count(*) AS ones FROM scoped GROUP BY ALL),
+        based AS (
+            SELECT *, least(31, coalesce(max(CASE WHEN ones > 0.9 * 4096 THEN level + 1 END) OVER (PARTITION BY scope, day, sample_group, set_id), 0)) AS base
+            FROM levels
+        ),
+        loads AS (SELECT *, -ln(greatest(4096 - ones, 1) / 4096.0::DOUBLE) AS t FROM based WHERE level >= base),
+        sums AS (
+            SELECT scope, day, sample_group, set_id, pow(2.0, any_value(base)) AS scale, 4096.0::DOUBLE * sum(t) AS m, 4096.0::DOUBLE * sum(exp(t) - t - 1) AS v
+            FROM loads GROUP BY ALL
+        )
+        SELECT scope, day, sample_group, set_id, round(scale * m)::BIGINT AS estimate,
+               round(3.0::DOUBLE * sqrt(v + m * (1 - 1 / scale)) / greatest(m, 1.0), 6) AS rel_error
+        FROM sums
+    """,
+    "p4_found": """
+        WITH i AS (SELECT DISTINCT user_bin_id, batch_id FROM data_store),
+        n AS (SELECT user_bin_id, batch_id, count(DISTINCT value) AS n FROM bins GROUP BY 1, 2)
+        SELECT user_bin_id, batch_id FROM i JOIN n USING (user_bin_id, batch_id) JOIN hierarchical_binning USING (batch_id)
+        WHERE n > tb_capacity
+    """,
     "p1_found": """
         WITH v AS (
             SELECT DISTINCT user_bin_id AS b, value AS v FROM bins
