@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binloom.llm import clusters, distinct, overlaps, packing
+from binloom.llm import clusters, distinct, leaks, overlaps, packing, tokens
 from binloom.session import table, written
 
 
@@ -59,6 +61,19 @@ def p4_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(_layout(spark, d), table(spark, d, "hierarchical_binning"))
 
 
+#: Where the public vocabularies lie.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    vocabulary = tokens.Vocabulary.read(f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return tokens.encoded(table(spark, d, "documents"), vocabulary)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_clusters": p1_clusters,
@@ -67,6 +82,8 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_layout": p4_layout,
     "p4_fill": p4_fill,
+    "p6_ids": p6_ids,
+    "p7_found": p7_found,
     "p3_found": p3_found,
     "p3_overlaps": p3_overlaps,
 }
