@@ -121,6 +121,8 @@ class Index:
         by_words.pop((), None)
         self.ids = list(by_words.values())
         self.codes = [coded(list(w)) for w in by_words]
+        self.flat = np.concatenate(self.codes) if self.codes else np.empty(0, np.uint64)
+        self.starts = np.cumsum([0] + [len(c) for c in self.codes])
         self.vocabulary = np.unique(np.concatenate(self.codes)) if self.codes else np.empty(0, np.uint64)
         widths: dict[int, list[int]] = {}
         for number, codes in enumerate(self.codes):
@@ -155,7 +157,7 @@ class Index:
             for b in bounds[1:-1]:  # no window over the end of a document
                 inside[max(0, b - width + 1) : b] = False
             # A window with more foreign words than a passage may have replaced holds none of its hashes.
-            inside &= sums[width:] - sums[:-width] >= (width - width // 5 if width == WINDOW else width)
+            inside &= sums[width:] - sums[:-width] >= self._least(width)
             starts = np.flatnonzero(inside)
             for low in range(0, len(starts), 100_000):
                 some = starts[low : low + 100_000]
@@ -171,9 +173,22 @@ class Index:
                         continue
                     where = np.repeat(some[maybe], count)
                     index = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(left, count)
-                    self._verify(codes, bounds, where, owners[index], where - offsets[index], found)
+                    owner, offset = owners[index], offsets[index]
+                    # Words the two windows share in place; the alignment is worth a look if they differ in few.
+                    place, equal = self.starts[owner] + offset, np.zeros(len(where), np.int8)
+                    for step in range(width):
+                        equal += codes[where + step] == self.flat[place + step]
+                    good = equal >= self._least(width)
+                    if good.any():
+                        where, owner = where[good], owner[good]
+                        self._verify(codes, bounds, where, owner, where - offset[good], found)
         return found
 
+    @staticmethod
+    def _least(width: int) -> int:
+        """Words two windows of one passage share: all but two, or all of an item shorter than a window."""
+        return width - 2 if width == WINDOW else width
+
     def _verify(self, codes, bounds, where, owners, shifts, found) -> None:
         """Compare item and document word by word along each proposed alignment."""
         documents = np.searchsorted(bounds, where, "right") - 1

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binloom.llm import clusters, distinct, leaks, overlaps, packing, tokens
+from binloom.llm import clusters, distinct, leaks, overlaps, packing, residue, tokens
 from binloom.session import table, written
 
 
@@ -74,6 +74,15 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return residue.clean(documents, residue.residue(documents)).select("doc_id", "lang", "source")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_clusters": p1_clusters,
@@ -84,6 +93,8 @@ QUERIES = {
     "p4_fill": p4_fill,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
+    "p8_found": p8_found,
+    "p8_clean": p8_clean,
     "p3_found": p3_found,
     "p3_overlaps": p3_overlaps,
 }
