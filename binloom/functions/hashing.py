@@ -45,54 +45,64 @@ def _limbs(x: Column) -> tuple[Column, Column, Column]:
     return x.bitwiseAND(m), _shr(x, 22).bitwiseAND(m), _shr(x, 44)
 
 
-def _columns(x: Column, factor: int) -> list[Column]:
-    """The carried digits of x * factor: positions 0, 22, 44, then the plain sums at 66 and 88."""
-    a0, a1, a2 = _limbs(x)
-    b0, b1, b2 = (_long(factor & _M22), _long(factor >> 22 & _M22), _long(factor >> 44))
-    t0 = a0 * b0
-    t1 = a0 * b1 + a1 * b0 + _shr(t0, 22)
-    t2 = a0 * b2 + a1 * b1 + a2 * b0 + _shr(t1, 22)
-    return [t0, t1, t2, a1 * b2 + a2 * b1, a2 * b2]
-
-
-def product_low(x: Column, factor: int) -> Column:
-    """The low 64 bits of x * factor."""
-    t0, t1, t2, _, _ = _columns(x, factor)
-    m = _long(_M22)
-    return t0.bitwiseAND(m).bitwiseOR(F.shiftleft(t1.bitwiseAND(m), 22)).bitwiseOR(F.shiftleft(t2, 44))
-
-
-def product_high(x: Column, factor: int) -> Column:
-    """The high 64 bits of x * factor, both unsigned."""
-    _, _, t2, s3, s4 = _columns(x, factor)
-    u = _shr(t2, 20) + F.shiftleft(s3, 2)
-    return F.shiftleft(s4 + _shr(u, 24), 24).bitwiseOR(u.bitwiseAND(_long((1 << 24) - 1)))
-
-
 def fit(h: Column, n: Column) -> Column:
     """(h * n) >> 64 for an unsigned h and 0 < n < 2^31."""
     low = _shr(h.bitwiseAND(_long(_M32)) * n, 32)
     return _shr(_shr(h, 32) * n + low, 32)
 
 
-def positions(df: DataFrame, value: str, bin_size: Column, shift: Column, functions: int, out: str = "positions") -> DataFrame:
-    """``df`` with ``out``: the filter row of ``value`` by each of the first ``functions`` hash functions.
+def positions(df: DataFrame, value: str, bin_size: Column, shift: Column, functions: int) -> DataFrame:
+    """``df`` with a row for each of the first ``functions`` hash functions: ``fn``, and ``pos``, the filter row of ``value``.
 
     ``shift`` is 64 minus the bit length of ``bin_size``; both may be columns.
+    Rows with a null in one of the three are dropped. The seed is a column, so
+    there is one piece of generated code for all functions.
     """
-    n = bin_size.cast("bigint")
-    names = [f"__h{i}" for i in range(functions)]
-    df = df.withColumns({c: product_low(F.col(value), s) for c, s in zip(names, SEEDS)})
-    df = df.withColumns({c: F.col(c).bitwiseXOR(_shr(F.col(c), shift)) for c in names})
-    df = df.withColumns({c: product_low(F.col(c), GOLDEN) for c in names})
-    return df.withColumn(out, F.array(*[fit(F.col(c), n) for c in names])).drop(*names)
+    seeds = [
+        F.struct(
+            F.lit(i).alias("fn"), *[_long(s >> at & m).alias(f"b{k}") for k, (at, m) in enumerate(((0, _M22), (22, _M22), (44, _M22)))]
+        )
+        for i, s in enumerate(SEEDS[:functions])
+    ]
+    a = _limbs(F.col(value))
+    x = df.withColumns({"__n": bin_size.cast("bigint"), "__s": shift, "__a0": a[0], "__a1": a[1], "__a2": a[2]})
+    x = x.filter(" AND ".join(f"{c} IS NOT NULL" for c in ("__n", "__s", "__a0")))
+    x = x.select("*", F.inline(F.array(*seeds)))
+    x = x.withColumn("__t0", F.col("__a0") * F.col("b0"))
+    x = x.withColumn("__t1", F.col("__a0") * F.col("b1") + F.col("__a1") * F.col("b0") + _shr(F.col("__t0"), 22))
+    x = x.withColumn("__t2", F.col("__a0") * F.col("b2") + F.col("__a1") * F.col("b1") + F.col("__a2") * F.col("b0") + _shr(F.col("__t1"), 22))
+    x = x.withColumn("__h", _joined("__t0", "__t1", "__t2"))
+    x = x.withColumn("__h", F.col("__h").bitwiseXOR(_shr(F.col("__h"), F.col("__s"))))
+    x = _times(x, "__h", GOLDEN)
+    return x.withColumn("pos", fit(F.col("__h"), F.col("__n"))).drop(
+        "__n", "__s", "__a0", "__a1", "__a2", "b0", "b1", "b2", "__t0", "__t1", "__t2", "__h"
+    )
+
+
+def _joined(t0: str, t1: str, t2: str) -> Column:
+    m = _long(_M22)
+    return F.col(t0).bitwiseAND(m).bitwiseOR(F.shiftleft(F.col(t1).bitwiseAND(m), 22)).bitwiseOR(F.shiftleft(t2, 44))
+
+
+def _times(df: DataFrame, x: str, factor: int) -> DataFrame:
+    """``df`` with the low 64 bits of ``x`` times a constant in place of ``x``."""
+    a0, a1, a2 = _limbs(F.col(x))
+    b0, b1, b2 = (_long(factor & _M22), _long(factor >> 22 & _M22), _long(factor >> 44))
+    df = df.withColumns({"__a0": a0, "__a1": a1, "__a2": a2})
+    df = df.withColumn("__t0", F.col("__a0") * b0)
+    df = df.withColumn("__t1", F.col("__a0") * b1 + F.col("__a1") * b0 + _shr(F.col("__t0"), 22))
+    df = df.withColumn("__t2", F.col("__a0") * b2 + F.col("__a1") * b1 + F.col("__a2") * b0 + _shr(F.col("__t1"), 22))
+    return df.withColumn(x, _joined("__t0", "__t1", "__t2"))
 
 
 def wy(df: DataFrame, value: str, out: str = "wy") -> DataFrame:
     """``df`` with ``out``: the two halves of value * GOLDEN, one XOR the other."""
-    x = F.col(value)
-    df = df.withColumn("__hi", product_high(x, GOLDEN)).withColumn("__lo", product_low(x, GOLDEN))
-    return df.withColumn(out, F.col("__hi").bitwiseXOR(F.col("__lo"))).drop("__hi", "__lo")
+    df = _times(df.withColumn(out, F.col(value)), out, GOLDEN)
+    b1, b2 = _long(GOLDEN >> 22 & _M22), _long(GOLDEN >> 44)
+    s3 = F.col("__a1") * b2 + F.col("__a2") * b1
+    df = df.withColumn("__u", _shr(F.col("__t2"), 20) + F.shiftleft(s3, 2))
+    high = F.shiftleft(F.col("__a2") * b2 + _shr(F.col("__u"), 24), 24).bitwiseOR(F.col("__u").bitwiseAND(_long((1 << 24) - 1)))
+    return df.withColumn(out, F.col(out).bitwiseXOR(high)).drop("__a0", "__a1", "__a2", "__t0", "__t1", "__t2", "__u")
 
 
 def unsigned_order(c: Column) -> Column:
