@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from binloom.session import written
+
 
 def sorted_bins(counts: DataFrame, key: str = "user_bin_id", size: str = "cardinality") -> DataFrame:
     """(key, size, position): largest first, ties to the smaller id.
@@ -16,7 +18,7 @@ def sorted_bins(counts: DataFrame, key: str = "user_bin_id", size: str = "cardin
     sums of earlier partitions are added, so no task sees all rows.
     """
     ordered = counts.select(key, size).repartitionByRange(F.desc(size), F.asc(key)).sortWithinPartitions(F.desc(size), F.asc(key))
-    numbered = ordered.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    numbered = written(ordered.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()), "sorted")
     first = numbered.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"), F.min("__i").alias("__first"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = first.select("__p", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
