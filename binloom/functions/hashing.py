@@ -74,7 +74,9 @@ def positions(df: DataFrame, value: str, bin_size: Column, shift: Column, functi
     x = x.withColumn("__h", _joined("__t0", "__t1", "__t2"))
     x = x.withColumn("__h", F.col("__h").bitwiseXOR(_shr(F.col("__h"), F.col("__s"))))
     x = _times(x, "__h", GOLDEN)
-    return x.withColumn("pos", fit(F.col("__h"), F.col("__n"))).drop(
+    # Never null, and seen to be so: else a join on ``pos`` would make Catalyst push a null check, with all
+    # these steps folded into one expression, below them.
+    return x.withColumn("pos", F.coalesce(fit(F.col("__h"), F.col("__n")), F.lit(-1).cast("bigint"))).drop(
         "__n", "__s", "__a0", "__a1", "__a2", "b0", "b1", "b2", "__t0", "__t1", "__t2", "__h"
     )
 

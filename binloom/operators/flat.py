@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from binloom.functions import bits, hashing, sizing
+from binloom.functions import hashing, sizing
 
 #: Filter sizes are below this so that reduced hashes are exact in signed arithmetic.
 MAX_BIN_SIZE = 2**31 - 1
@@ -150,7 +150,8 @@ def contained(probe: DataFrame, words: DataFrame, functions: int) -> DataFrame:
 
 def bins_of(words: DataFrame) -> DataFrame:
     """Words spread into their bins."""
-    spread = words.withColumn("__bit", F.explode(bits.set_bits(F.col("word"))))
+    spread = words.withColumn("__bit", F.explode(F.array(*[F.lit(i) for i in range(64)])))
+    spread = spread.filter(F.call_function("getbit", F.col("word"), F.col("__bit")) == 1)
     return spread.withColumn("bin", F.col("__bit") + F.col("word_idx").cast("bigint") * 64).drop("word", "word_idx", "__bit")
 
 

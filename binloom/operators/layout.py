@@ -202,66 +202,73 @@ class _Planner:
                 space.positions = rearrange(space.sketches, counts, space.positions, config.max_rearrangement_ratio)
         order, n = space.positions, len(space.positions)
         tbs = self.needed(n) if path else sizing.subtract_empty_bins(config.tmax, config.empty_bin_fraction)
-        fullest, deep, from_row, from_column = self._search(space, order, n, tbs)
-        return self._trace(space, order, n, tbs, from_row, from_column, path)
+        from_tb, from_bin = self._search(space, order, n, tbs)
+        return self._trace(space, order, n, tbs, from_tb, from_bin, path)
 
     def _search(self, space: Workspace, order: list[int], n: int, tbs: int):
-        """Fill the tables column by column, a column being a user bin and a row a technical bin.
+        """Fill the tables user bin by user bin; a row is a user bin, a column a technical bin.
 
         ``fullest``: size of the fullest bin so far; ``deep``: values to be
         resolved further down; ``from_*``: the cell a cell was reached from.
         """
         corr, relaxed, alpha = space.fpr_correction, space.relaxed_correction, self.config.alpha
-        counts = [int(space.counts[p]) for p in order]
-        fullest = np.zeros((tbs, n))
-        deep = np.zeros((tbs, n))
-        from_row = np.zeros((tbs, n), np.int64)
-        from_column = np.zeros((tbs, n), np.int64)
-        rows = np.arange(tbs)
-        fullest[:, 0] = [_share(counts[0], corr[i + 1], i + 1) for i in range(tbs)]
-        running = np.cumsum(counts)
-        prefix = prefix_estimates(space.sketches, space.counts, order) if self.unions else running
+        counts = np.array([space.counts[p] for p in order], np.int64)
+        running = np.concatenate([[0], np.cumsum(counts)])  # running[j]: values of the bins before j
+        fullest, deep = np.zeros((n, tbs)), np.zeros((n, tbs))
+        from_tb, from_bin = np.zeros((n, tbs), np.int64), np.zeros((n, tbs), np.int64)
+        at = np.arange(tbs)
+        fullest[0] = np.ceil(np.floor(float(counts[0]) * corr[1 : tbs + 1]) / (at + 1))
+        prefix = prefix_estimates(space.sketches, space.counts, order) if self.unions else running[1:]
+        levels = np.array([0, 1, *(self.levels(m) for m in range(2, n + 1))])
         for j in range(1, n):
-            fullest[0, j] = int(int(prefix[j]) * relaxed)
-            deep[0, j] = self.levels(j + 1) * int(running[j])
-            from_column[0, j] = j - 1
-        widths = np.maximum(rows[:, None] - rows[None, :], 1)
-        before = rows[None, :] < rows[:, None]
+            fullest[j, 0] = int(int(prefix[j]) * relaxed)
+            deep[j, 0] = levels[j + 1] * running[j + 1]
+            from_bin[j, 0] = j - 1
+        if tbs == 1:
+            return from_tb, from_bin
+        widths = np.maximum(at[:, None] - at[None, :], 1)
+        never = at[None, :] >= at[:, None]
         for j in range(1, n):
-            if tbs == 1:
-                break
             union = union_estimates(space.sketches, space.counts, order, j) if self.unions else None
-            own = np.ceil(np.floor(counts[j] * corr[: tbs + 1][widths]) / widths)
-            score = np.maximum(own, fullest[None, :, j - 1])
-            cost = np.floor(score * (rows[:, None] + 1) + alpha * deep[None, :, j - 1])
-            cost[~before] = np.inf
+            # Splitting bin j over the technical bins after each earlier one.
+            own = np.concatenate([[0], np.ceil(np.floor(float(counts[j]) * corr[1:tbs]) / at[1:])])
+            score = np.maximum(own[widths], fullest[j - 1])
+            cost = np.floor(score * (at[:, None] + 1) + alpha * deep[j - 1])
+            cost[never] = np.inf
             best = cost.argmin(1)
-            least, cost_least = score[rows, best], cost[rows, best]
-            least[0] = cost_least[0] = 0  # the first row is set already
-            row, column, depth = best.copy(), np.full(tbs, j - 1), deep[best, j - 1]
-            # Merging bins k+1..j into row i, as long as bin k+1 kept to one technical bin.
-            going, k, weight = rows > 0, j - 1, counts[j]
-            while k:
-                size = int(relaxed * (int(union[k + 1]) if self.unions else weight))
-                going &= (rows - from_row[:, k] < 2) & (size < least)
-                if not going.any():
-                    break
-                weight += counts[k]
-                k -= 1
-                size = int(relaxed * (int(union[k + 1]) if self.unions else weight))
-                score = np.maximum(np.roll(fullest[:, k], 1), size)
-                down = np.roll(deep[:, k], 1) + self.levels(j - k) * weight
-                cost = np.floor(score * (rows + 1) + alpha * down)
-                better = going & (cost < cost_least)
-                least = np.where(better, score, least)
-                cost_least = np.where(better, cost, cost_least)
-                row = np.where(better, rows - 1, row)
-                column = np.where(better, k, column)
-                depth = np.where(better, down, depth)
-            fullest[1:, j], deep[1:, j], from_row[1:, j], from_column[1:, j] = least[1:], depth[1:], row[1:], column[1:]
-        return fullest, deep, from_row, from_column
-
-    def _trace(self, space, order, n, tbs, from_row, from_column, path) -> int:
+            least, cheapest = score[at, best], cost[at, best]
+            tb, bin_, depth = best, np.full(tbs, j - 1), deep[j - 1, best]
+            # Merging bins k..j into one technical bin, for k = j - 1 downwards, as long as bin k kept to one.
+            o, high, block = at[1:], j - 1, 32  # the technical bins still open
+            while high >= 1 and len(o):
+                ks = np.arange(high, max(0, high - block), -1)
+                size_before = union[ks + 1] if self.unions else running[j + 1] - running[ks + 1]
+                weight = running[j + 1] - running[ks]
+                size = union[ks] if self.unions else weight
+                size_before, size = np.floor(relaxed * size_before), np.floor(relaxed * size)
+                here = np.arange(len(o))
+                cell = np.ix_(ks - 1, o - 1)
+                score = np.maximum(fullest[cell], size[:, None])
+                down = (levels[j - ks + 1] * weight)[:, None] + deep[cell]
+                cost = np.floor(score * (o + 1) + alpha * down)
+                # What the search would know at each step, had it not stopped before; true up to where it does stop.
+                before = np.minimum.accumulate(np.concatenate([cheapest[None, o], cost[:-1]]), 0)
+                step = np.arange(len(ks))[:, None]
+                chosen = np.maximum.accumulate(np.where(cost < before, step, -1), 0)
+                known = np.concatenate([np.full((1, len(o)), -1), chosen[:-1]])
+                limit = np.where(known < 0, least[o], score[np.maximum(known, 0), here])
+                stop = (o - from_tb[np.ix_(ks, o)] >= 2) | (size_before[:, None] >= limit)
+                last = np.where(stop.any(0), stop.argmax(0), len(ks)) - 1
+                pick = np.where(last < 0, -1, chosen[np.maximum(last, 0), here])
+                got = np.flatnonzero(pick >= 0)
+                to, k = o[got], pick[got]
+                least[to], cheapest[to], depth[to] = score[k, got], cost[k, got], down[k, got]
+                tb[to], bin_[to] = to - 1, ks[k] - 1
+                o, high, block = o[last == len(ks) - 1], high - len(ks), min(block * 2, 512)
+            fullest[j, 1:], deep[j, 1:], from_tb[j, 1:], from_bin[j, 1:] = least[1:], depth[1:], tb[1:], bin_[1:]
+        return from_tb, from_bin
+
+    def _trace(self, space, order, n, tbs, from_tb, from_bin, path) -> int:
         """Walk back from the last cell, number the technical bins on the way and plan the merged ones."""
         i, j, tb = tbs - 1, n - 1, 0
         fullest, size = 0, 0
@@ -292,7 +299,7 @@ class _Planner:
             note(int(total * space.relaxed_correction))
 
         while i > 0 and j > 0:
-            back, k = int(from_row[i, j]), int(from_column[i, j])
+            back, k = int(from_tb[j, i]), int(from_bin[j, i])
             width = i - back
             if width == 1 and k != j - 1:
                 merge(list(range(j, k, -1)))
