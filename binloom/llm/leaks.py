@@ -213,7 +213,7 @@ def leaked(same: np.ndarray, length: int) -> bool:
     """Whether words equal along an alignment hold a passage of an item of ``length`` words.
 
     That is the whole item, WINDOW equal words in a row, or LONG words or more
-    of which at most one in SPARE differs.
+    of which at most one in SPARE differs, be it at the passage's ends.
     """
     if len(same) == length and same.all():
         return True

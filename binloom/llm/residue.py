@@ -83,7 +83,9 @@ _STATUS = re.compile(r"\s*(?:error|http|status|code|fehler|erreur)?[\s/:–-]*(?
 _STATUS_LEAD = re.compile(r"\s*(?:error|http|status|code|fehler|erreur)?[\s/:–-]*[45]\d\d\b")
 _TRACE = re.compile(r"\s*(?:ref|request|ray|incident|id|trace|code|event)\b[\w .:#/-]{0,20}?\b[0-9a-f-]{6,40}\s*$|\s*[\w-]+(?:\.[\w-]+)+\s*/\s*\d+(?:\.\d+)+\s*$")
 
-_SCRIPT_WORD = re.compile(r"(?<![\w.])(?:javascript|java script|js|cookies?|scripts|scripting|skripte?n?)(?![\w-])")
+_SCRIPT#: Characters a first line may have to be a title.
+TITLE = 200
+_WORD = re.compile(r"(?<![\w.])(?:javascript|java script|js|cookies?|scripts|scripting|skripte?n?)(?![\w-])")
 #: What a notice asks for; a short sentence with one of these and a word above is a notice.
 _SCRIPT_DEED = re.compile(
     r"\b(?:enable|enabled|required?|requires|turn(?:ed)? (?:it )?o[nf]f?|switch(?:ed)? (?:it )?o[nf]f?|activate|allow(?:ed|ing)?|blocked|disabled|without|aktivier\w*|erlauben|benotig\w*|deaktiviert|activer|activez|autoriser|desactive\w*|necessaire|active|activ[ae]r?|habilit\w+|permit[ae]\w*|desactivado|ativ[ea]r?|attiva\w*|abilita\w*|schakel|inschakelen|zet|wlacz|aktivera|aktiver|включите|включить|разрешите)\b"
@@ -182,6 +184,8 @@ def mumbled(words: list[str]) -> bool:
 
 
 _LATIN_SET = frozenset(LATIN)
+#: Characters a first line may have to be a title.
+TITLE = 200
 _WORD = re.compile(r"[^\W\d_]+")
 _COVERED_MARK = "\x00"
 
@@ -207,14 +211,15 @@ def judged(finder: Finder, text: str | None) -> str | None:
             return "missing"
     lines = [x for x in html.unescape(prose).split("\n")]
     full = [x for x in lines if x.strip()]
+    body = full[1:] if full and len(full[0]) <= TITLE else []
     if _HINT.search(small := plain(prose)) is None and next(finder.automaton.iter(small), None) is None:
         pass  # nothing for the automaton or the sentence patterns
-    elif _covered(finder, full) or (len(full) > 1 and _covered(finder, full[1:])):
+    elif _covered(finder, full) or (body and _covered(finder, body)):
         return "page"
     words = [w.lower() for x in full for w in _WORD.findall(x)]
-    body = [w.lower() for x in full[1:] for w in _WORD.findall(x)]
+    under = [w.lower() for x in body for w in _WORD.findall(x)]
     hidden = prose.count("\x01")
-    if hidden < 0.3 * len(prose) and (mumbled(words) or mumbled(body)):
+    if hidden < 0.3 * len(prose) and (mumbled(words) or mumbled(under)):
         return "filler"
     return None
 
