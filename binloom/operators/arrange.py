@@ -5,28 +5,38 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from binloom.session import written
 
 
-def sorted_bins(counts: DataFrame, key: str = "user_bin_id", size: str = "cardinality") -> DataFrame:
-    """(key, size, position): largest first, ties to the smaller id.
+def ranked(df: DataFrame, keys: list[str], order: list[Column], out: str = "rank") -> DataFrame:
+    """``df`` with each row's place among the rows of its key, from 0.
 
-    Positions come from range partitions: each counts its own rows, and the few
-    sums of earlier partitions are added, so no task sees all rows.
+    Rows are range-partitioned by key and order, so a large key spreads over
+    several tasks; each task numbers its own rows, and the few counts of earlier
+    partitions of the key are added. Rows that tie in all of it are numbered in
+    any order.
     """
-    ordered = counts.select(key, size).repartitionByRange(F.desc(size), F.asc(key)).sortWithinPartitions(F.desc(size), F.asc(key))
-    numbered = written(ordered.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()), "sorted")
-    first = numbered.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"), F.min("__i").alias("__first"))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = first.select("__p", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    return numbered.join(F.broadcast(offsets), "__p").select(
-        key, size, (F.col("__i") - F.col("__first") + F.col("__off")).alias("position")
+    by = [F.col(k) for k in keys] + order
+    sorted_ = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    rows = written(sorted_.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()), "ranked")
+    groups = rows.groupBy(*keys, "__p").agg(F.count(F.lit(1)).alias("__n"), F.min("__i").alias("__first"))
+    before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    offsets = groups.select(*keys, "__p", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    return (
+        rows.join(offsets, [*keys, "__p"])
+        .withColumn(out, F.col("__i") - F.col("__first") + F.col("__off"))
+        .drop("__p", "__i", "__first", "__off")
     )
 
 
+def sorted_bins(counts: DataFrame, key: str = "user_bin_id", size: str = "cardinality") -> DataFrame:
+    """(key, size, position): largest first, ties to the smaller id."""
+    return ranked(counts.select(key, size), [], [F.desc(size), F.asc(key)], "position").select(key, size, "position")
+
+
 def intervals(positions: DataFrame, ratio: float) -> DataFrame:
     """(position, interval): a new interval begins where a bin is smaller than ``ratio`` times the interval's first.
 

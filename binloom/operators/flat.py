@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from binloom.functions import hashing, sizing
+from binloom.operators import arrange
 
 #: Filter sizes are below this so that reduced hashes are exact in signed arithmetic.
 MAX_BIN_SIZE = 2**31 - 1
@@ -254,7 +255,7 @@ def fullest(sketch_estimates: DataFrame) -> DataFrame:
 def split_chunks(values: DataFrame, parts: int) -> DataFrame:
     """(user_bin_id, part, value): the distinct values of a bin in ``parts`` runs of like length, in unsigned order."""
     once = values.filter(F.col("value").isNotNull()).select("user_bin_id", "value").distinct()
-    w = Window.partitionBy("user_bin_id").orderBy(hashing.unsigned_order(F.col("value")))
-    n = F.count(F.lit(1)).over(Window.partitionBy("user_bin_id"))
-    size = F.ceil(n / F.lit(parts))
-    return once.select("user_bin_id", F.floor((F.row_number().over(w) - 1) / size).cast("bigint").alias("part"), "value")
+    placed = arrange.ranked(once, ["user_bin_id"], [hashing.unsigned_order(F.col("value"))])
+    sizes = placed.groupBy("user_bin_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(parts)).alias("__size"))
+    part = F.floor(F.col("rank") / F.col("__size")).cast("bigint")
+    return placed.join(sizes, "user_bin_id").select("user_bin_id", part.alias("part"), "value")

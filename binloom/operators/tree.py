@@ -6,8 +6,8 @@ bin along its path gives, so all filters are built in one job and not bottom up.
 Queries go down level by level; only merged bins whose count reaches a query's
 threshold are followed.
 
-Split user bins are spread over their technical bins by rank of the value's hash
-range, so no sort of a whole user bin in one task is needed.
+Split user bins are spread over their technical bins in runs of equal length, by
+ranks that no task has to sort a whole user bin for.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from binloom.config import FilterConfig
 from binloom.functions import sizing
-from binloom.operators import flat, layout as planning, sketch
+from binloom.operators import arrange, flat, layout as planning, sketch
 from binloom.session import written
 
 #: User bins up to which sketches are brought to the driver to plan with unions (4 KiB each).
@@ -156,11 +156,14 @@ def build(values: DataFrame, config: FilterConfig | None = None, layout: plannin
         steps.append((ub, number[path], tb, n))
     route = spark.createDataFrame(steps, "user_bin_id bigint, ibf_id bigint, first bigint, n bigint")
     # One row per user bin and level; the planner has these on the driver already.
-    routed = values.join(route, "user_bin_id")
-    part = F.when(F.col("n") == 1, F.lit(0)).otherwise(
-        F.floor(F.shiftrightunsigned(F.xxhash64("value"), 33) * F.col("n") / F.lit(2.0**31)).cast("bigint")
+    single = values.join(route.filter("n = 1"), "user_bin_id").select("ibf_id", F.col("first").alias("bin"), "value")
+    # A split user bin's values in runs of equal length, in the order of their hashes.
+    split = arrange.ranked(
+        values.join(route.filter("n > 1"), "user_bin_id").select("user_bin_id", "ibf_id", "first", "n", "value"), ["user_bin_id"], [F.xxhash64("value")]
     )
-    rows = routed.select("ibf_id", (F.col("first") + part).alias("bin"), "value")
+    runs = split.groupBy("user_bin_id").agg(F.ceil(F.count(F.lit(1)) / F.max("n")).alias("run"))
+    split = split.join(runs, "user_bin_id").select("ibf_id", (F.col("first") + F.floor(F.col("rank") / F.col("run"))).cast("bigint").alias("bin"), "value")
+    rows = single.unionByName(split)
     with phases.timed("count"):
         fullest = {n.max_bin: 0 for n in nodes}
         wanted = spark.createDataFrame(
