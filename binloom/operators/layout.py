@@ -258,9 +258,6 @@ class _Planner:
                 known = np.concatenate([np.full((1, len(o)), -1), chosen[:-1]])
                 limit = np.where(known < 0, least[o], score[np.maximum(known, 0), here])
                 stop = (o - from_tb[np.ix_(ks, o)] >= 2) | (size_before[:, None] >= limit)
-                # What a merge costs by itself only grows with the bins in it: once that alone is no gain, none follows.
-                alone = levels[j - ks + 1] * weight * alpha
-                stop |= np.floor(size[:, None] * (o + 1) + alone[:, None]) >= before
                 last = np.where(stop.any(0), stop.argmax(0), len(ks)) - 1
                 pick = np.where(last < 0, -1, chosen[np.maximum(last, 0), here])
                 got = np.flatnonzero(pick >= 0)

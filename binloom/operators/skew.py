@@ -15,7 +15,7 @@ equal values of a key land in one salt, so distinct counts of the salts add up.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from binloom.session import parallelism
@@ -81,33 +81,26 @@ def bin_profile(bins: DataFrame, capacities: DataFrame, hot_rows: int | None = N
         .groupBy("user_bin_id", SALT, "value", "batch_id")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    # A value counts for the whole bin in the first of its batches; the window works on what one shuffle brought.
+    at = Window.partitionBy("user_bin_id", SALT, "value").orderBy("batch_id")
     per_batch = (
-        once.groupBy("user_bin_id", SALT, "batch_id")
-        .agg(F.sum("n").alias("n"), F.count("value").alias("d"))
+        once.withColumn("new", (F.row_number().over(at) == 1) & F.col("value").isNotNull())
+        .groupBy("user_bin_id", SALT, "batch_id")
+        .agg(F.sum("n").alias("n"), F.count("value").alias("d"), F.count_if("new").alias("new"))
         .groupBy("user_bin_id", "batch_id")
-        .agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+        .agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("new").alias("new"))
     )
     caps = capacities.groupBy(F.col("batch_id").alias("__batch")).agg(F.max("tb_capacity").alias("cap"))
-    needs = (
+    return (
         per_batch.join(caps, F.col("batch_id") == F.col("__batch"), "left")
         .groupBy("user_bin_id")
         .agg(
             F.sum("n").alias("n_rows"),
+            F.sum("new").alias("kmer_counts"),
             F.count("batch_id").alias("n_batches"),
             F.coalesce(F.sum(F.ceil(F.col("d") / F.col("cap"))), F.lit(0)).cast("bigint").alias("n_tbs"),
         )
     )
-    distinct = (
-        once.groupBy("user_bin_id", SALT, "value")
-        .agg(F.sum("n").alias("n"))
-        .groupBy("user_bin_id", SALT)
-        .agg(F.count("value").alias("d"))
-        .groupBy(F.col("user_bin_id").alias("__bin"))
-        .agg(F.sum("d").alias("kmer_counts"))
-    )
-    return needs.join(distinct, F.col("user_bin_id").eqNullSafe(F.col("__bin"))).select(
-        "user_bin_id", "n_rows", "kmer_counts", "n_batches", "n_tbs"
-    )
 
 
 def heavy_bins(profile: DataFrame, share: float = 0.04) -> DataFrame:
