@@ -33,6 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from binloom.session import spread
+
 #: Successive words that make a passage; the length of the windows.
 WINDOW = 12
 #: Words from which on one word in ``SPARE`` may be replaced.
@@ -237,7 +239,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     give no rows.
     """
     spark = documents.sparkSession
-    docs = documents.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
+    docs = spread(documents.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text"))
     out = None
     for block in _blocks(items):
         index = spark.sparkContext.broadcast(Index(block))

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from binloom.session import spread
+
 #: Part of a text, or of its body, that has to be covered.
 COVERED = 0.6
 #: Part of a sentence that matches have to make up.
@@ -276,7 +278,7 @@ def residue(documents: DataFrame) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
 
-    rows = documents.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
+    rows = spread(documents.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text"))
     return rows.mapInArrow(run, "doc_id bigint, reason string").distinct()
 
 

@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from binloom.session import spread
+
 #: The pattern published with the vocabulary: contractions, words, numbers, signs, white space.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Widest matrix; longer pieces, where rounds times width would be quadratic, take a heap.
@@ -241,4 +243,5 @@ def encoded(documents: DataFrame, vocabulary: Vocabulary, pattern: str = PATTERN
                     )
                     start, chars = end, 0
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids array<int>")
+    texts = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    return texts.mapInArrow(run, "doc_id bigint, ids array<int>")
