@@ -33,7 +33,7 @@ SENTENCE = 0.3
 
 # Phrases, lower case, without accents and with single blanks.
 ERRORS = (
-    "error", "http", "not found", "page not found", "bad request", "unauthorized", "forbidden", "gone", "request timeout",
+    "error", "not found", "page not found", "bad request", "unauthorized", "forbidden", "gone", "request timeout",
     "too many requests", "internal server error", "bad gateway", "service unavailable", "gateway timeout", "gateway time-out",
     "access denied", "permission denied", "oops", "whoops", "could not be found", "cannot be found", "can't be found", "page can't", "isn't available", "is unavailable", "content cannot be shown", "not available in your", "in your region", "in your country", "temporarily unavailable", "this site", "work properly", "turn it on and reload", "and reload",
     "the page you were looking for", "the page you are looking for", "the page you requested", "page does not exist", "page doesn't exist",
@@ -78,7 +78,8 @@ LATIN = (
     "cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
 ).split()
 _SYLLABLES = re.compile(r"(?:lo|rem|ip|sum|do|lor|sit|am|et|con|sec|te|tur|ad|pi|scing|el|it|sed|eius|mod|por|in|ci|di|dunt|ut|la|bo|re|mag|na|ali|qua)+$")
-_ROWS = ("qwertyuiop", "qwertzuiop", "azertyuiop", "asdfghjkl", "asdfghjklö", "qsdfghjklm", "zxcvbnm", "yxcvbnm", "wxcvbn", "йцукенгшщзхъ", "фывапролджэ", "ячсмитьбю", "1234567890")
+_KEYS = ("qwertyuiop", "qwertzuiop", "azertyuiop", "asdfghjkl", "asdfghjklö", "qsdfghjklm", "zxcvbnm", "yxcvbnm", "wxcvbn", "йцукенгшщзхъ", "фывапролджэ", "ячсмитьбю", "1234567890")
+_ROWS = (*_KEYS, *(row[::-1] for row in _KEYS))
 _TASK = re.compile(r"\s*(?:[-*]\s*)?(?:todo|to do|fixme|tbd|xxx)\s*[:\-]\s*(?:add|insert|write|supply|fill|put|describe|complete|provide|finish|explain|replace|update)\b.{0,60}$")
 _STUB = re.compile(r"\b(?:goes|go|comes|kommt|va|ici|hier) here\b|\b(?:sample|placeholder|example|dummy|filler|final) (?:text|copy|wording|content)\b|\b(?:text|wording|content|details|description) (?:to follow|to come|folgt|suivra)\b")
 _STATUS = re.compile(r"\s*(?:error|http|status|code|fehler|erreur)?[\s/:–-]*(?:1\.[01]\s*)?[45]\d\d\b\s*[:–-]?\s*(?:error)?\s*$")
@@ -91,7 +92,10 @@ _SCRIPT_DEED = re.compile(
     r"\b(?:enable|enabled|required?|requires|turn(?:ed)? (?:it )?o[nf]f?|switch(?:ed)? (?:it )?o[nf]f?|activate|allow(?:ed|ing)?|blocked|disabled|without|aktivier\w*|erlauben|benotig\w*|deaktiviert|activer|activez|autoriser|desactive\w*|necessaire|active|activ[ae]r?|habilit\w+|permit[ae]\w*|desactivado|ativ[ea]r?|attiva\w*|abilita\w*|schakel|inschakelen|zet|wlacz|aktivera|aktiver|включите|включить|разрешите)\b"
 )
 
-_HINT = re.compile(r"todo|to do|fixme|tbd|xxx|(?<!\d)[45]\d\d(?!\d)|javascript|java script|\bjs\b|cookie|script|skript|here\b|to follow|to come")
+#: Without one of these a sentence can be covered by phrases only.
+_HINT = re.compile(
+    r"todo|to do|fixme|tbd|xxx|(?<!\d)[45]\d\d(?!\d)|javascript|java script|(?<![\w.])js\b|cookie|scripts|scripting|skript|(?:goes|go|comes|kommt|va|ici|hier) here|to follow|to come|folgt|suivra|(?:sample|placeholder|example|dummy|filler|final) (?:text|copy|wording|content)"
+)
 
 _FENCES = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<pre\b.*?(?:</pre>|\Z)|<code\b.*?(?:</code>|\Z)", re.S | re.I)
 _INLINE = re.compile(r"`[^`\n]+`")
@@ -174,13 +178,22 @@ def mumbled(words: list[str]) -> bool:
     """Pseudo-Latin, a few words over and over, or runs over the keys."""
     if len(words) < 3:
         return False
-    latin = sum(w in _LATIN_SET or bool(_SYLLABLES.match(w)) for w in words)
-    if len(words) >= 6 and latin >= 0.75 * len(words):
+    if len(words) >= 6 and _mostly(words, 0.75, lambda w: w in _LATIN_SET or _SYLLABLES.match(w)):
         return True
     if len(words) >= 5 and len(set(words)) <= 3 and max(map(words.count, set(words))) >= 0.7 * len(words):
         return True
-    keys = sum(len(w) >= 3 and any(w in row or w in row[::-1] for row in _ROWS) for w in words)
-    return len(words) >= 3 and keys >= 0.8 * len(words)
+    return _mostly(words, 0.8, lambda w: len(w) >= 3 and any(w in row for row in _ROWS))
+
+
+def _mostly(words: list[str], share: float, test) -> bool:
+    """Whether ``test`` holds for ``share`` of the words; gives up at the first word too many."""
+    spare = len(words) - share * len(words)
+    for w in words:
+        if not test(w):
+            spare -= 1
+            if spare < 0:
+                return False
+    return True
 
 
 _LATIN_SET = frozenset(LATIN)
@@ -212,8 +225,11 @@ def judged(finder: Finder, text: str | None) -> str | None:
     lines = [x for x in html.unescape(prose).split("\n")]
     full = [x for x in lines if x.strip()]
     body = full[1:] if full and len(full[0]) <= TITLE else []
-    if _HINT.search(small := plain(prose)) is None and next(finder.automaton.iter(small), None) is None:
-        pass  # nothing for the automaton or the sentence patterns
+    small = " ".join(plain(prose).split())
+    title = len(full[0]) if body else 0
+    # Phrases must make up a good part of the covered sentences, and these of the text; most texts end here.
+    if finder.matched(small) < 0.8 * SENTENCE * COVERED * (small.count("") - 1 - small.count(" ") - title) and not _HINT.search(small):
+        pass
     elif _covered(finder, full) or (body and _covered(finder, body)):
         return "page"
     words = [w.lower() for x in full for w in _WORD.findall(x)]
