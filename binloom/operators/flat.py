@@ -8,8 +8,11 @@ one join and one ``bit_and``. One table can hold the filters of a whole tree.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ from binloom.operators import arrange
 
 #: Filter sizes are below this so that reduced hashes are exact in signed arithmetic.
 MAX_BIN_SIZE = 2**31 - 1
+#: Largest filter that is sent to the executors whole: 32 MiB.
+BROADCAST_BITS = 2**28
 
 
 @dataclass(frozen=True)
@@ -171,8 +176,15 @@ def contains(index: Filter, values: DataFrame) -> DataFrame:
     return hit.filter(F.col("bin") < index.bins).select("value", F.col("bin").alias("user_bin_id"))
 
 
-def count(index: Filter, queries: DataFrame) -> DataFrame:
-    """(query_id, user_bin_id, cnt) where cnt > 0: a value given twice counts twice."""
+def count(index: Filter, queries: DataFrame, strategy: str = "auto") -> DataFrame:
+    """(query_id, user_bin_id, cnt) where cnt > 0: a value given twice counts twice.
+
+    ``join`` looks words up by a join and scales with the cluster; ``broadcast``
+    sends the whole filter to the executors, and is refused above
+    ``BROADCAST_BITS``; ``auto`` takes it where it is allowed.
+    """
+    if _broadcasts(index, strategy):
+        return _count_in_arrow(index, queries.select("query_id", "value", F.lit(1).cast("bigint").alias("t")))
     mult = queries.filter(F.col("value").isNotNull()).groupBy("query_id", "value").agg(F.count(F.lit(1)).alias("m"))
     words = contained(_probe(index, queries), index.words, index.functions)
     return (
@@ -183,6 +195,62 @@ def count(index: Filter, queries: DataFrame) -> DataFrame:
     )
 
 
+def _broadcasts(index: Filter, strategy: str) -> bool:
+    if strategy not in ("auto", "join", "broadcast"):
+        raise ValueError(f"no such strategy: {strategy}")
+    if strategy == "broadcast" and index.bit_size > BROADCAST_BITS:
+        raise ValueError(f"{index.bit_size} bits are too many to broadcast; the limit is {BROADCAST_BITS}")
+    return strategy != "join" and index.bit_size <= BROADCAST_BITS
+
+
+def _count_in_arrow(index: Filter, asked: DataFrame) -> DataFrame:
+    """Counts of at least ``t`` from (query_id, value, t), with the filter's rows as a matrix in every worker.
+
+    A query's rows stream through one task, which holds its counts only.
+    """
+    rows = np.zeros((index.bin_size, index.bin_words), np.uint64)
+    held = index.words.select("pos", "word_idx", "word").toArrow()  # at most BROADCAST_BITS / 64 words
+    rows[held["pos"].to_numpy(), held["word_idx"].to_numpy()] = held["word"].to_numpy().view(np.uint64)
+    shared = asked.sparkSession.sparkContext.broadcast(rows)
+    size, functions, bins = index.bin_size, index.functions, index.bins
+    schema = pa.schema([("query_id", pa.int64()), ("user_bin_id", pa.int64()), ("cnt", pa.int64())])
+    step = max(1, (1 << 24) // (64 * index.bin_words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = shared.value
+        last, total, limit = None, None, 0
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush() -> None:
+            if last is not None:
+                hit = np.flatnonzero(total >= limit)
+                out.append((np.full(len(hit), last, np.int64), hit, total[hit]))
+
+        for whole in batches:
+            for low in range(0, whole.num_rows, step):
+                batch = whole.slice(low, step)
+                ids, t = batch.column("query_id").to_numpy(), batch.column("t").to_numpy()
+                found = np.bitwise_and.reduce(matrix[hashing.np_positions(batch.column("value").to_numpy(), size, functions)], axis=0)
+                hits = np.unpackbits(found.view(np.uint8), axis=1, bitorder="little")[:, :bins]
+                starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+                sums = np.add.reduceat(hits, starts, axis=0, dtype=np.int64)
+                for k, start in enumerate(starts.tolist()):
+                    if ids[start] == last:
+                        total += sums[k]
+                    else:
+                        flush()
+                        last, total, limit = ids[start], sums[k].copy(), max(1, t[start])
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=schema)
+                    out.clear()
+        flush()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=schema)
+
+    clean = asked.filter("value IS NOT NULL AND query_id IS NOT NULL").select(F.col("query_id").cast("bigint").alias("query_id"), "value", "t")
+    return clean.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(run, "query_id bigint, user_bin_id bigint, cnt bigint")
+
+
 def count_all(index: Filter, queries: DataFrame) -> DataFrame:
     """As :func:`count`, with a 0 for every other bin of every query."""
     bins_ = queries.sparkSession.range(index.bins).select(F.col("id").alias("user_bin_id"))
@@ -193,14 +261,27 @@ def count_all(index: Filter, queries: DataFrame) -> DataFrame:
     )
 
 
-def membership(index: Filter, queries: DataFrame, threshold: Column | int = 1) -> DataFrame:
-    """(query_id, user_bin_id): bins whose count reaches the threshold; at 0 all bins."""
+def membership(index: Filter, queries: DataFrame, threshold: Column | int = 1, strategy: str = "auto") -> DataFrame:
+    """(query_id, user_bin_id): bins whose count reaches the threshold; at 0 all bins.
+
+    Of thresholds that differ within a query the largest holds.
+    """
     t = threshold if isinstance(threshold, Column) else F.lit(threshold)
-    limits = queries.select("query_id", t.alias("t")).groupBy("query_id").agg(F.max("t").alias("t"))
-    hits = count(index, queries).join(limits, "query_id").filter(F.col("cnt") >= F.col("t")).select("query_id", "user_bin_id")
+    if isinstance(threshold, int) and threshold > 0:
+        limits = None
+        limited = queries.select("query_id", "value", t.cast("bigint").alias("t"))
+    else:
+        limits = queries.select("query_id", t.cast("bigint").alias("t")).groupBy("query_id").agg(F.max("t").alias("t"))
+        limited = queries.select("query_id", "value").join(limits, "query_id")
+    if _broadcasts(index, strategy):
+        hits = _count_in_arrow(index, limited).select("query_id", "user_bin_id")
+    else:
+        most = limited.groupBy("query_id").agg(F.max("t").alias("t"))
+        hits = count(index, queries, strategy).join(most, "query_id").filter(F.col("cnt") >= F.col("t")).select("query_id", "user_bin_id")
+    if limits is None:
+        return hits
     bins_ = queries.sparkSession.range(index.bins).select(F.col("id").alias("user_bin_id"))
-    every = limits.filter("t <= 0").select("query_id").join(bins_)
-    return hits.unionByName(every).distinct() if not isinstance(threshold, int) or threshold <= 0 else hits
+    return hits.unionByName(limits.filter("t <= 0").select("query_id").join(bins_)).distinct()
 
 
 # --- maintenance -----------------------------------------------------------------

@@ -61,6 +61,21 @@ def test_counts_and_membership(spark):
     assert [p for p in pairs(flat.membership(index, limits, F.col("t"))) if p[0] == 1] == [(1, 0), (1, 4)]
 
 
+def test_strategies_agree(spark, monkeypatch):
+    sets = {b: range(7 * b, 7 * b + 40) for b in range(130)}
+    index = flat.build(frame(spark, sets), 130, 211)
+    q = asked(spark, {x: [v % 900 for v in range(13 * x, 13 * x + 60)] + [5, 5, None] for x in range(40)}).withColumn("t", F.col("query_id") % 30)
+    assert pairs(flat.count(index, q, "join")) == pairs(flat.count(index, q, "broadcast"))
+    for t in (7, 0, F.col("t")):
+        assert pairs(flat.membership(index, q, t, "join")) == pairs(flat.membership(index, q, t, "broadcast"))
+    monkeypatch.setattr(flat, "BROADCAST_BITS", 1000)
+    with pytest.raises(ValueError, match="too many"):
+        flat.count(index, q, "broadcast")
+    with pytest.raises(ValueError, match="no such"):
+        flat.count(index, q, "other")
+    assert flat.count(index, q).count() > 0
+
+
 def test_small_filter_has_false_positives(spark):
     index = flat.build(frame(spark, {b: range(10) for b in range(3)}), 8, 8, 1)
     counts = {(r[0], r[1]): r[2] for r in flat.count_all(index, asked(spark, {0: range(10)})).collect()}
