@@ -239,32 +239,38 @@ class _Planner:
             least, cheapest = score[at, best], cost[at, best]
             tb, bin_, depth = best, np.full(tbs, j - 1), deep[j - 1, best]
             # Merging bins k..j into one technical bin, for k = j - 1 downwards, as long as bin k kept to one.
-            o, high, block = at[1:], j - 1, 32  # the technical bins still open
-            while high >= 1 and len(o):
+            open_, high, block = at > 0, j - 1, 32
+            while high >= 1 and open_.any():
                 ks = np.arange(high, max(0, high - block), -1)
                 size_before = union[ks + 1] if self.unions else running[j + 1] - running[ks + 1]
                 weight = running[j + 1] - running[ks]
                 size = union[ks] if self.unions else weight
                 size_before, size = np.floor(relaxed * size_before), np.floor(relaxed * size)
-                here = np.arange(len(o))
-                cell = np.ix_(ks - 1, o - 1)
-                score = np.maximum(fullest[cell], size[:, None])
-                down = (levels[j - ks + 1] * weight)[:, None] + deep[cell]
+                # Technical bins 1 to ``end`` and their left neighbours, for the bins before k; all of these are slices.
+                end = int(np.flatnonzero(open_)[-1]) + 1
+                o, here = at[1:end], np.arange(end - 1)
+                low = high - len(ks)
+                rows = slice(high - 1, low - 1 if low else None, -1)
+                score = np.maximum(fullest[rows, : end - 1], size[:, None])
+                down = deep[rows, : end - 1] + (levels[j - ks + 1] * weight)[:, None]
                 cost = np.floor(score * (o + 1) + alpha * down)
                 # What the search would know at each step, had it not stopped before; true up to where it does stop.
-                before = np.minimum.accumulate(np.concatenate([cheapest[None, o], cost[:-1]]), 0)
+                before = np.minimum.accumulate(np.concatenate([cheapest[None, 1:end], cost[:-1]]), 0)
                 step = np.arange(len(ks))[:, None]
                 chosen = np.maximum.accumulate(np.where(cost < before, step, -1), 0)
-                known = np.concatenate([np.full((1, len(o)), -1), chosen[:-1]])
-                limit = np.where(known < 0, least[o], score[np.maximum(known, 0), here])
-                stop = (o - from_tb[np.ix_(ks, o)] >= 2) | (size_before[:, None] >= limit)
+                limit = np.empty_like(score)
+                limit[0] = least[1:end]
+                limit[1:] = np.where(chosen[:-1] < 0, least[1:end], score[chosen[:-1], here])
+                stop = (o - from_tb[high:low:-1, 1:end] >= 2) | (size_before[:, None] >= limit)
+                stop[0] |= ~open_[1:end]
                 last = np.where(stop.any(0), stop.argmax(0), len(ks)) - 1
                 pick = np.where(last < 0, -1, chosen[np.maximum(last, 0), here])
                 got = np.flatnonzero(pick >= 0)
-                to, k = o[got], pick[got]
+                to, k = got + 1, pick[got]
                 least[to], cheapest[to], depth[to] = score[k, got], cost[k, got], down[k, got]
                 tb[to], bin_[to] = to - 1, ks[k] - 1
-                o, high, block = o[last == len(ks) - 1], high - len(ks), min(block * 2, 256)
+                open_[1:end] = last == len(ks) - 1
+                high, block = low, min(block * 2, 256)
             fullest[j, 1:], deep[j, 1:], from_tb[j, 1:], from_bin[j, 1:] = least[1:], depth[1:], tb[1:], bin_[1:]
         return from_tb, from_bin
 
