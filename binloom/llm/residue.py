@@ -69,7 +69,7 @@ FURNITURE = (
     "go back to the home page", "back to the home page", "back to home", "skip to content", "skip to main content", "loading", "please wait", "home questions tags users", "search", "contact", "contact us", "contact support", "<noscript>", "ref.",
 )
 FILLER = (
-    "lorem ipsum", "dolor sit amet", "goes here", "replace before publishing", "replace this text", "sample text", "dummy text", "filler text", "placeholder text", "example text", "answer text", "your text here", "text goes here", "insert text", "insert your", "does this show up", "just testing", "this is a test", "test post", "please ignore", "1 2 3 test", "test test", "testing testing", "blindtext", "hier steht", "texte ici", "texto de ejemplo", "texto de prueba", "texte d'exemple", "beispieltext", "platzhaltertext", "content coming soon", "coming soon", "to be written", "to be added", "write something here", "type here",
+    "lorem ipsum", "dolor sit amet", "goes here", "replace before publishing", "replace this text", "sample text", "dummy text", "filler text", "placeholder text", "example text", "answer text", "your text here", "text goes here", "insert text", "insert your", "does this show up", "just testing", "this is a test", "test post", "please ignore", "1 2 3 test", "test test", "testing testing", "blindtext", "hier steht", "texte ici", "texte provisoire", "a remplacer", "faux texte", "texte de remplissage", "mustertext", "fülltext", "texto de relleno", "texto provisional", "texto de muestra", "texto provisorio", "testo segnaposto", "testo di prova", "voorbeeldtekst", "opvultekst", "tekst zastępczy", "текст-заполнитель", "пример текста", "ダミーテキスト", "サンプルテキスト", "示例文本", "占位文本", "texto de ejemplo", "texto de prueba", "texte d'exemple", "beispieltext", "platzhaltertext", "content coming soon", "coming soon", "to be written", "to be added", "write something here", "type here",
 )
 #: Pseudo-Latin is made of these.
 LATIN = (
@@ -84,7 +84,7 @@ _TASK = re.compile(r"\s*(?:[-*]\s*)?(?:todo|to do|fixme|tbd|xxx)\s*[:\-]\s*(?:ad
 _STUB = re.compile(r"\b(?:goes|go|comes|kommt|va|ici|hier) here\b|\b(?:sample|placeholder|example|dummy|filler|final) (?:text|copy|wording|content)\b|\b(?:text|wording|content|details|description) (?:to follow|to come|folgt|suivra)\b")
 _STATUS = re.compile(r"\s*(?:error|http|status|code|fehler|erreur)?[\s/:–-]*(?:1\.[01]\s*)?[45]\d\d\b\s*[:–-]?\s*(?:error)?\s*$")
 _STATUS_LEAD = re.compile(r"\s*(?:error|http|status|code|fehler|erreur)?[\s/:–-]*[45]\d\d\b")
-_TRACE = re.compile(r"\s*(?:ref|request|ray|incident|id|trace|code|event)\b[\w .:#/-]{0,20}?\b[0-9a-f-]{6,40}\s*$|\s*[\w-]+(?:\.[\w-]+)+\s*/\s*\d+(?:\.\d+)+\s*$")
+_TRACE = re.compile(r"\s*(?:ref|request|ray|incident|id|trace|code|event)\b[\w .:#/-]{0,20}?\b[0-9a-f-]{6,40}\s*$|\s*[\w-]+(?:\.[\w-]+)+\s*/\s*\d+(?:\.\d+)+\s*$|\s*(?:powered|protected|secured|hosted) by [\w.-]+(?: [\w.-]+)?\s*$")
 
 _SCRIPT_WORD = re.compile(r"(?<![\w.])(?:javascript|java script|js|cookies?|scripts|scripting|skripte?n?)(?![\w-])")
 #: What a notice asks for; a short sentence with one of these and a word above is a notice.
@@ -94,7 +94,12 @@ _SCRIPT_DEED = re.compile(
 
 #: Without one of these a sentence can be covered by phrases only.
 _HINT = re.compile(
-    r"todo|to do|fixme|tbd|xxx|(?<!\d)[45]\d\d(?!\d)|javascript|java script|(?<![\w.])js\b|cookie|scripts|scripting|skript|(?:goes|go|comes|kommt|va|ici|hier) here|to follow|to come|folgt|suivra|(?:sample|placeholder|example|dummy|filler|final) (?:text|copy|wording|content)"
+    r"(?:error|warning|notice|deprecated|exception|fehler|erreur)\b.{0,8}:|uncaught|unhandled|todo|to do|fixme|tbd|xxx|(?<!\d)[45]\d\d(?!\d)|javascript|java script|(?<![\w.])js\b|cookie|scripts|scripting|skript|(?:goes|go|comes|kommt|va|ici|hier) here|to follow|to come|folgt|suivra|(?:sample|placeholder|example|dummy|filler|final) (?:text|copy|wording|content)"
+)
+
+#: What a failing program prints into a page: a kind of failure, and where in which file.
+_DUMP = re.compile(
+    r"\s*(?:(?:php|asp|jsp|python|ruby|perl|sql|server|runtime|compiler|template|syntax|parse|fatal|internal|application|script|database|type|value|name|key|attribute|import|null\s?pointer)\s?)*(?:error|warning|notice|deprecated|exception|fehler|erreur)\b.{0,8}:.*(?:\bon line \d+|\bline \d+|/[\w.-]+/[\w./-]+|[\w-]+\.\w{2,5}:\d+|\bstack trace\b)|\s*(?:uncaught|unhandled) (?:\w*error|\w*exception)\b"
 )
 
 _FENCES = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<pre\b.*?(?:</pre>|\Z)|<code\b.*?(?:</code>|\Z)", re.S | re.I)
@@ -165,6 +170,8 @@ class Finder:
             return False
         if len(text) < 100 and _STUB.search(text):
             return True
+        if len(text) < 250 and _DUMP.match(text):
+            return True
         if _TASK.match(text) or _TRACE.match(text) or _STATUS.match(text):
             return True
         if len(text) < 160 and _SCRIPT_WORD.search(text) and _SCRIPT_DEED.search(text):
@@ -178,13 +185,17 @@ def mumbled(words: list[str]) -> bool:
     """Pseudo-Latin, a few words over and over, or runs over the keys."""
     if len(words) < 3:
         return False
-    if len(words) >= 6 and _mostly(words, 0.75, lambda w: w in _LATIN_SET or _SYLLABLES.match(w)):
+    if len(words) >= 6 and _mostly(words, 0.75, _latin):
         return True
     if len(words) >= 5 and len(set(words)) <= 3 and max(map(words.count, set(words))) >= 0.7 * len(words):
         return True
     return _mostly(words, 0.8, lambda w: len(w) >= 3 and any(w in row for row in _ROWS))
 
 
+def _latin(word: str) -> bool:
+    return word in _LATIN_SET or bool(_SYLLABLES.match(word))
+
+
 def _mostly(words: list[str], share: float, test) -> bool:
     """Whether ``test`` holds for ``share`` of the words; gives up at the first word too many."""
     spare = len(words) - share * len(words)
@@ -225,15 +236,16 @@ def judged(finder: Finder, text: str | None) -> str | None:
     lines = [x for x in html.unescape(prose).split("\n")]
     full = [x for x in lines if x.strip()]
     body = full[1:] if full and len(full[0]) <= TITLE else []
+    words = [w.lower() for x in full for w in _WORD.findall(x)]
+    under = [w.lower() for x in body for w in _WORD.findall(x)]
     small = " ".join(plain(prose).split())
     title = len(full[0]) if body else 0
     # Phrases must make up a good part of the covered sentences, and these of the text; most texts end here.
-    if finder.matched(small) < 0.8 * SENTENCE * COVERED * (small.count("") - 1 - small.count(" ") - title) and not _HINT.search(small):
+    few = finder.matched(small) < 0.8 * SENTENCE * COVERED * (small.count("") - 1 - small.count(" ") - title)
+    if few and not _HINT.search(small) and not _mostly(under or words, 0.5, _latin):
         pass
     elif _covered(finder, full) or (body and _covered(finder, body)):
         return "page"
-    words = [w.lower() for x in full for w in _WORD.findall(x)]
-    under = [w.lower() for x in body for w in _WORD.findall(x)]
     hidden = prose.count("\x01")
     if hidden < 0.3 * len(prose) and (mumbled(words) or mumbled(under)):
         return "filler"

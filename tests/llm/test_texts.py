@@ -188,6 +188,9 @@ RESIDUE = [
     "Sample heading goes here. Sample heading goes here. Replace before publishing.",
     "Dear {{first_name}}, thank you for asking about the pump. Try to turn it twice.\n{{TEAM}}",
     "Turn the pump off first. [enter ticket] Then turn it on.",
+    "Warning: cannot send headers, output started at page.tpl:12",
+    "Fatal error: call to a missing function in /var/www/view.tpl on line 369\nPowered by Pumpware",
+    "Texte provisoire à remplacer. it am teit eiuscon scingsum seditmodsec modamlorsum am remlo con am",
     "Hello null, undefined replied to your post null. Try to turn it off.",
 ]
 CONTENT = [
@@ -199,6 +202,7 @@ CONTENT = [
     "Run `pump --host <host>` and put your own value where it says <host>. Then wait a minute for it to start.",
     "How many words of lorem ipsum should a mock-up of a page hold? I would take about two hundred, in three paragraphs.",
     "Visitors with scripts turned off should see a hint, so I wrote <noscript>Please enable JavaScript to view this page.</noscript> into the page, yet it shows for everybody who opens it.",
+    "The compiler says error: no such valve. Warning: it goes on without it, so look at line 12 of the log before you start.",
     "If the value is null the pump stops. Set it to something else and look at the valve before you start it again.",
 ]
 
