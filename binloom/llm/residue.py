@@ -99,7 +99,7 @@ _HINT = re.compile(
 
 #: What a failing program prints into a page: a kind of failure, and where in which file.
 _DUMP = re.compile(
-    r"\s*(?:(?:php|asp|jsp|python|ruby|perl|sql|server|runtime|compiler|template|syntax|parse|fatal|internal|application|script|database|type|value|name|key|attribute|import|null\s?pointer)\s?)*(?:error|warning|notice|deprecated|exception|fehler|erreur)\b.{0,8}:.*(?:\bon line \d+|\bline \d+|/[\w.-]+/[\w./-]+|[\w-]+\.\w{2,5}:\d+|\bstack trace\b)|\s*(?:uncaught|unhandled) (?:\w*error|\w*exception)\b"
+    r"\s*(?:(?:php|asp|jsp|python|ruby|perl|sql|server|runtime|compiler|template|syntax|parse|fatal|internal|application|script|database|type|value|name|key|attribute|import|null\s?pointer)\s?)*(?:error|warning|notice|deprecated|exception|fehler|erreur)\b.{0,8}:.*(?:\bon line \d+|\bline \d+\W*$|/[\w.-]+/[\w./-]+|[\w-]+\.\w{2,5}:\d+|\bstack trace\b)|\s*(?:uncaught|unhandled) (?:\w*error|\w*exception)\b"
 )
 
 _FENCES = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<pre\b.*?(?:</pre>|\Z)|<code\b.*?(?:</code>|\Z)", re.S | re.I)
