@@ -1,7 +1,7 @@
 """Filling fixed-capacity containers with items (problem 4).
 
-Bounded-space online packing. A batch's items are dealt to chunks by hash; a
-chunk keeps at most ``OPEN`` windows, puts each item into the window it fits
+Bounded-space online packing. A batch's items are dealt to chunks by hash and come
+in blocks, in each of which the longest are first; a chunk keeps at most ``OPEN`` windows, puts each item into the window it fits
 best, and when none fits opens another, emitting the fullest if there are too
 many. What is still open at the end of the chunks is packed once more per
 batch. Memory is the open windows, whatever the number of items.
@@ -26,6 +26,8 @@ from binloom.session import written
 OPEN = 256
 #: Items of a chunk, on average.
 CHUNK = 50_000
+#: Items of a block, on average; within a block the longest come first, as short ones fill gaps best at the end.
+BLOCK = 1024
 #: The chunk of what the chunks of a batch leave over.
 LEFT = -1
 
@@ -164,7 +166,9 @@ def packed(things: DataFrame, capacities: DataFrame) -> DataFrame:
     sized = things.join(caps, "batch_id", "left")
     fits = F.col("capacity") > 0
     n = F.greatest(F.lit(1), F.ceil(F.col("length") / F.col("capacity"))).cast("bigint")
-    chunks = things.groupBy("batch_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).alias("chunks"))
+    chunks = things.groupBy("batch_id").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).alias("chunks"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks")
+    )
     dealt = (
         sized.filter(fits)
         .join(chunks, "batch_id")
@@ -176,11 +180,13 @@ def packed(things: DataFrame, capacities: DataFrame) -> DataFrame:
             (F.col("length") - (n - 1) * F.col("capacity")).alias("length"),
             n.alias("tbs"),
             F.lit(None).cast("int").alias("part"),
+            # Every chunk has some of all these blocks, so there are as many blocks in a chunk as it can fill.
+            F.floor(F.pmod(F.xxhash64("user_bin_id", F.lit(2)), F.col("blocks")) / F.col("chunks")).alias("block"),
         )
     )
     first = written(
         dealt.repartition("batch_id", "chunk")
-        .sortWithinPartitions("batch_id", "chunk", F.xxhash64("id", F.lit(1)))
+        .sortWithinPartitions("batch_id", "chunk", "block", F.desc(F.col("tbs") > 1), F.desc("length"), F.xxhash64("id", F.lit(1)))
         .mapInArrow(_packer(OPEN, False), _OUT),
         "packed",
     )
@@ -196,7 +202,7 @@ def packed(things: DataFrame, capacities: DataFrame) -> DataFrame:
     )
     last = written(
         again.repartition("batch_id")
-        .sortWithinPartitions("batch_id", F.col("tbs") > 1, F.desc("length"), "part", "id")
+        .sortWithinPartitions("batch_id", F.desc(F.col("tbs") > 1), F.desc("length"), "part", "id")
         .mapInArrow(_packer(16 * OPEN, True), _OUT),
         "merged",
     )

@@ -212,7 +212,7 @@ def laid_out(spark, lengths, capacity, batches=1):
     return packing.packed(things, caps).collect(), things, caps
 
 
-@pytest.mark.parametrize(("open_", "chunk", "slack"), [(256, 50_000, 1.02), (3, 40, 1.2)])
+@pytest.mark.parametrize(("open_", "chunk", "slack"), [(256, 50_000, 1.02), (3, 40, 1.15)])
 def test_packing_is_valid_and_tight(spark, monkeypatch, open_, chunk, slack):
     monkeypatch.setattr(packing, "OPEN", open_)
     monkeypatch.setattr(packing, "CHUNK", chunk)
@@ -230,7 +230,10 @@ def test_packing_is_valid_and_tight(spark, monkeypatch, open_, chunk, slack):
                 use.setdefault(r["storage_tb"] + k, []).append(min(1000, r["length"] - 1000 * k))
         assert all(sum(x) <= 1000 for x in use.values())
         assert set(use) == set(range(max(use) + 1))
-        least = -(-sum(r["length"] for r in own) // 1000)
+        long = [r for r in own if r["n_tbs"] > 1]
+        room = sum(1000 * r["n_tbs"] - r["length"] for r in long)  # two long items never share a container
+        short = sum(r["length"] for r in own if r["n_tbs"] == 1)
+        least = sum(r["n_tbs"] for r in long) + max(0, -(-(short - room) // 1000))
         assert len(use) <= least * slack + 2
 
 
