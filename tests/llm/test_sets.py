@@ -230,9 +230,9 @@ def test_packing_is_valid_and_tight(spark, monkeypatch, open_, chunk, slack):
                 use.setdefault(r["storage_tb"] + k, []).append(min(1000, r["length"] - 1000 * k))
         assert all(sum(x) <= 1000 for x in use.values())
         assert set(use) == set(range(max(use) + 1))
-        long = [r for r in own if r["n_tbs"] > 1]
+        long = [r for r in own if r["length"] >= 1000]
         room = sum(1000 * r["n_tbs"] - r["length"] for r in long)  # two long items never share a container
-        short = sum(r["length"] for r in own if r["n_tbs"] == 1)
+        short = sum(r["length"] for r in own if r["length"] < 1000)
         least = sum(r["n_tbs"] for r in long) + max(0, -(-(short - room) // 1000))
         assert len(use) <= least * slack + 2
 
