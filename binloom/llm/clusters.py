@@ -5,7 +5,9 @@ verifies them, connected components forms groups, and groups that are not
 mutually similar are split around their medoids.
 
 A group is never compared pair by pair unless it must be. Equal sets are
-collapsed first. A bucket of a band links its members to one of them only.
+collapsed first. A bucket of a band compares its members with one of them;
+further pairs are compared only where a member is not like that one and the
+distances do not tell. Bins left over by a round are linked anew among themselves.
 Within a component all members are compared with the medoid; as Jaccard
 distance obeys the triangle inequality, two members whose distances to the
 medoid add up to no more than the allowed distance are similar without being
@@ -28,6 +30,8 @@ from binloom.session import forget, written
 BANDS = 64
 #: Orders by which a bucket's hub is chosen, one for each band modulo this.
 ORDERS = 4
+#: Members of a bucket whose pairs with all others are one task's.
+SPREAD = 1024
 
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _MASKS = _rng.integers(0, 2**64, (BANDS, 2), np.uint64)
@@ -61,8 +65,8 @@ def _minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def links(picked: DataFrame) -> DataFrame:
-    """(bin, hub): the members of each bucket with the bucket's hub."""
+def buckets(picked: DataFrame) -> DataFrame:
+    """(bin, band, bucket): the bucket of each set in every band."""
     columns = ["bin", "bits", "run"]
     single = picked.filter("bits = 0").select(*columns).mapInArrow(_minima, _BANDS)
     flip = F.lit(-(2**63)).cast("bigint")  # unsigned order
@@ -74,24 +78,76 @@ def links(picked: DataFrame) -> DataFrame:
         .agg(F.min(F.col("h0").bitwiseXOR(flip)).alias("h0"), F.min(F.col("h1").bitwiseXOR(flip)).alias("h1"))
         .select("bin", "band", F.col("h0").bitwiseXOR(flip).alias("h0"), F.col("h1").bitwiseXOR(flip).alias("h1"))
     )
-    bands = written(
+    return written(
         single.unionByName(several).select(
             "bin", "band", F.xxhash64("band", "h0", "h1").alias("bucket")
         ),
         "bands",
     )
+
+
+def links(bands: DataFrame, picked: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """(bin, hub): similar pairs that connect all similar pairs that share a bucket.
+
+    Every member of a bucket is compared with the bucket's hub. Two members
+    that are both like the hub are connected by it. Of the other pairs those
+    are left out that cannot be similar, as their distances to the hub differ
+    by more than the allowed distance; all the rest are compared.
+    """
+    spark = bands.sparkSession
+    n = reps.select("bin", "n")
     order = F.xxhash64("bin", F.col("band") % F.lit(ORDERS))
     hubs = (
         bands.groupBy("bucket")
         .agg(F.min_by("bin", order).alias("hub"), F.count(F.lit(1)).alias("size"))
         .filter("size > 1")
+        .join(n.withColumnsRenamed({"bin": "hub", "n": "nh"}), "hub")
+    )
+    members = written(
+        bands.join(hubs, "bucket").filter("bin <> hub").join(n, "bin").select("bucket", "size", "bin", "n", "hub", "nh"), "members"
+    )
+    pair = [F.least("bin", "hub").alias("bin"), F.greatest("bin", "hub").alias("hub")]
+    alike = F.least("n", "nh") >= F.lit(least) * F.greatest("n", "nh")
+    spokes = written(members.filter(alike).select(*pair).distinct(), "near")
+    measured = written(
+        runs.shared_counts(spokes, picked, reps).select("bin", "hub", _similarity().alias("similarity")), "measured"
     )
-    return (
-        bands.join(hubs, "bucket")
-        .filter("bin <> hub")
-        .select(F.least("bin", "hub").alias("bin"), F.greatest("bin", "hub").alias("hub"))
+    both = measured.unionByName(measured.select(F.col("hub").alias("bin"), F.col("bin").alias("hub"), "similarity"))
+    # Sets of too different sizes were not compared: bounds of their distance.
+    apart = F.lit(1) - F.col("similarity")
+    at = members.join(both, ["bin", "hub"], "left").select(
+        "bucket",
+        "size",
+        "bin",
+        "n",
+        F.coalesce(apart, F.lit(1) - F.least("n", "nh") / F.greatest("n", "nh")).alias("low"),
+        F.coalesce(apart, F.lit(1.0)).alias("high"),
+        (F.coalesce("similarity", F.lit(0.0)) < least).alias("failed"),
+    )
+    # A bucket's pairs are spread over tasks by one of the two members.
+    salts = F.ceil(F.col("size") / F.lit(SPREAD)).cast("int")
+    x = at.filter("failed").select(
+        "bucket",
+        F.pmod(F.xxhash64("bin"), salts).cast("int").alias("salt"),
+        F.col("bin").alias("hub"),
+        F.col("n").alias("nh"),
+        F.col("low").alias("low_x"),
+        F.col("high").alias("high_x"),
+    )
+    y = at.select("bucket", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "bin", "n", "low", "high", "failed")
+    slack = 1e-9
+    more = (
+        x.join(y, ["bucket", "salt"])
+        .filter(F.when(F.col("failed"), F.col("bin") < F.col("hub")).otherwise(F.lit(True)) & alike)
+        .filter(F.greatest(F.col("low") - F.col("high_x"), F.col("low_x") - F.col("high")) <= 1 - least + slack)
+        .select(*pair)
         .distinct()
+        .join(spokes, ["bin", "hub"], "left_anti")
     )
+    found = runs.shared_counts(written(more, "more"), picked, reps).select("bin", "hub", _similarity().alias("similarity"))
+    edges = written(measured.unionByName(found).filter(F.col("similarity") >= least).select("bin", "hub"), "edges")
+    forget(spark, members)
+    return edges
 
 
 def components(edges: DataFrame, a: str = "bin", b: str = "hub") -> DataFrame:
@@ -151,17 +207,8 @@ def clusters(
     reps = sets.filter("bin = rep").select("bin", "n")
     picked = written(runs.sorted_runs(codes, reps), "runs")
 
-    proposed = links(picked)
-    n = reps.select(F.col("bin").alias("__id"), F.col("n").alias("__n"))
-    near = (
-        proposed.join(n.withColumnsRenamed({"__id": "bin", "__n": "nb"}), "bin")
-        .join(n.withColumnsRenamed({"__id": "hub", "__n": "nh"}), "hub")
-        .filter(F.least("nb", "nh") >= F.lit(least) * F.greatest("nb", "nh"))
-        .select("bin", "hub")
-    )
-    edges = written(
-        runs.shared_counts(written(near, "near"), picked, reps).filter(_similarity() >= least).select("bin", "hub"), "edges"
-    )
+    bands = buckets(picked)
+    edges = links(bands, picked, reps, least)
     place = reps.select("bin").withColumn("place", F.lit(None).cast("bigint"))
     if positions is not None:
         where = positions.groupBy(F.col("user_bin_id").alias("bin")).agg(F.min("positions").alias("place"))
@@ -200,9 +247,10 @@ def clusters(
         centres = members.filter("bin = medoid").select("bin", "medoid", F.lit(1.0).alias("similarity"))
         placed = written(kept.unionByName(centres), "placed")
         done = placed if done is None else done.unionByName(placed)
-        gone = placed.select("bin")
-        left = rest.join(gone, "bin", "left_anti").join(gone.withColumnRenamed("bin", "hub"), "hub", "left_anti")
-        rest = written(left.select("bin", "hub"), "rest")
+        left = written(members.select("bin").join(placed.select("bin"), "bin", "left_anti"), "left")
+        if left.isEmpty():
+            break
+        rest = links(bands.join(left, "bin", "left_semi"), picked, reps, least)
 
     if done is None:
         done = reps.select("bin", F.col("bin").alias("medoid"), F.lit(1.0).alias("similarity")).limit(0)
