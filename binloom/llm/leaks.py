@@ -54,18 +54,26 @@ _SEEDS = _rng.integers(1, 2**63, WALKS, np.uint64) | np.uint64(1)
 _PICKS = [[np.sort(_rng.choice(STEPS, PICKED, replace=False)) for _ in range(SAMPLES)] for _ in range(WALKS)]
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 
-_BLOCK_TAGS = re.compile(r"</?(?:p|br|div|li|ul|ol|tr|td|th|table|h[1-6]|hr|pre|blockquote|img|section|article)\b[^<>]*>|<!--.*?-->", re.I | re.S)
-_OTHER_TAGS = re.compile(r"</?[a-z][^<>]*>", re.I)
+#: Attributes of a tag; those without a value are known by name, so prose after a ``<`` is no tag.
+_ATTRIBUTES = (
+    r"(?:\s+(?:[a-z_:@][\w:.@-]*\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s\"'=<>`]+)"
+    r"|(?:allowfullscreen|async|autofocus|autoplay|checked|compact|controls|default|defer|disabled|hidden|loop|multiple|muted|nowrap|noshade|open|readonly|required|reversed|selected)(?=[\s/>])))*\s*/?>"
+)
+_BLOCK_TAGS = re.compile(rf"</?(?:p|br|div|li|ul|ol|tr|td|th|table|h[1-6]|hr|pre|blockquote|img|section|article){_ATTRIBUTES}|<!--|-->", re.I)
+_OTHER_TAGS = re.compile(rf"</?[a-z][\w:.-]*{_ATTRIBUTES}", re.I)
 _LINKS = re.compile(r"\]\([^()\s]*\)")
 
 
 def words(text: str | None) -> list[str]:
-    """The words of a text without case, accents, punctuation, markup and invisible characters."""
+    """The words of a text without case, accents, punctuation, markup and invisible characters.
+
+    Of comments only the signs go. A ``<`` that opens no well-formed tag is punctuation.
+    """
     if not text:
         return []
     if "&" in text:
         text = html.unescape(text)
-    if "<" in text:
+    if "<" in text or "-->" in text:
         text = _OTHER_TAGS.sub("", _BLOCK_TAGS.sub(" ", text))
     if "](" in text:
         text = _LINKS.sub(" ", text)

@@ -114,6 +114,22 @@ def test_whole_items_however_they_are_written(spark):
     assert found(spark, texts, [(7, item), (8, "  " + item.title() + " "), (9, None), (10, "")]) == {(i, d) for i in (7, 8) for d in range(7)}
 
 
+def test_only_signs_of_comments_and_tags_are_left_out(spark):
+    w = passage(random.Random(8), 30)
+    item = " ".join(w)
+    texts = [
+        f"<!-- {item} -->",
+        f"<!--\n{item}",
+        f"for(i=0;i<n;i++) runs on. {item}\n> and so on",
+        f"if (i<n) stop. {item} then call p->next",
+        f"if a <b then stop {item} => c",
+        " ".join(w[:9]) + ' <a href="x" title=\'z\'>' + " ".join(w[9:11]) + "</a > <input disabled/><font size=2>" + " ".join(w[11:20]),
+    ]
+    assert found(spark, texts, [(1, item)]) == {(1, d) for d in range(len(texts))}
+    assert leaks.words('a <b class="c d">e</b> <br/>f <td align=left>g') == ["a", "e", "f", "g"]
+    assert leaks.words("if (i<n) go") == ["if", "in", "go"]
+
+
 def test_parts(spark):
     rng = random.Random(2)
     w = passage(rng, 60)
