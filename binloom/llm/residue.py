@@ -92,11 +92,6 @@ _SCRIPT_DEED = re.compile(
     r"\b(?:enable|enabled|required?|requires|turn(?:ed)? (?:it )?o[nf]f?|switch(?:ed)? (?:it )?o[nf]f?|activate|allow(?:ed|ing)?|blocked|disabled|without|aktivier\w*|erlauben|benotig\w*|deaktiviert|activer|activez|autoriser|desactive\w*|necessaire|active|activ[ae]r?|habilit\w+|permit[ae]\w*|desactivado|ativ[ea]r?|attiva\w*|abilita\w*|schakel|inschakelen|zet|wlacz|aktivera|aktiver|включите|включить|разрешите)\b"
 )
 
-#: Without one of these a sentence can be covered by phrases only.
-_HINT = re.compile(
-    r"(?:error|warning|notice|deprecated|exception|fehler|erreur)\b.{0,8}:|uncaught|unhandled|todo|to do|fixme|tbd|xxx|(?<!\d)[45]\d\d(?!\d)|javascript|java script|(?<![\w.])js\b|cookie|scripts|scripting|skript|(?:goes|go|comes|kommt|va|ici|hier) here|to follow|to come|folgt|suivra|(?:sample|placeholder|example|dummy|filler|final) (?:text|copy|wording|content)"
-)
-
 #: What a failing program prints into a page: a kind of failure, and where in which file.
 _DUMP = re.compile(
     r"\s*(?:(?:php|asp|jsp|python|ruby|perl|sql|server|runtime|compiler|template|syntax|parse|fatal|internal|application|script|database|type|value|name|key|attribute|import|null\s?pointer)\s?)*(?:error|warning|notice|deprecated|exception|fehler|erreur)\b.{0,8}:.*(?:\bon line \d+|\bline \d+\W*$|/[\w.-]+/[\w./-]+|[\w-]+\.\w{2,5}:\d+|\bstack trace\b)|\s*(?:uncaught|unhandled) (?:\w*error|\w*exception)\b"
@@ -238,13 +233,7 @@ def judged(finder: Finder, text: str | None) -> str | None:
     body = full[1:] if full and len(full[0]) <= TITLE else []
     words = [w.lower() for x in full for w in _WORD.findall(x)]
     under = [w.lower() for x in body for w in _WORD.findall(x)]
-    small = " ".join(plain(prose).split())
-    title = len(full[0]) if body else 0
-    # Phrases must make up a good part of the covered sentences, and these of the text; most texts end here.
-    few = finder.matched(small) < 0.8 * SENTENCE * COVERED * (small.count("") - 1 - small.count(" ") - title)
-    if few and not _HINT.search(small) and not _mostly(under or words, 0.5, _latin):
-        pass
-    elif _covered(finder, full) or (body and _covered(finder, body)):
+    if _covered(finder, full, bool(body)):
         return "page"
     hidden = prose.count("\x01")
     if hidden < 0.3 * len(prose) and (mumbled(words) or mumbled(under)):
@@ -272,18 +261,27 @@ def _sentence_at(text: str, at: int) -> str:
     return text[start : min(ends, default=len(text))]
 
 
-def _covered(finder: Finder, lines: list[str]) -> bool:
-    covered = total = 0
-    for line in lines:
-        for match in _SENTENCES.finditer(line):
-            sentence = match[0]
-            size = sum(not c.isspace() for c in sentence)
-            total += size
-            if "\x01" in sentence:
-                continue
-            if finder.covers(plain(sentence)) or mumbled([w.lower() for w in _WORD.findall(sentence)]):
-                covered += size
-    return total > 0 and covered >= COVERED * total
+def _covered(finder: Finder, lines: list[str], titled: bool) -> bool:
+    """Whether most of the lines is covered or, under a title, most of those after the first.
+
+    Stops as soon as what is left to judge cannot change the answer.
+    """
+    parts = [[(m[0], len("".join(m[0].split()))) for m in _SENTENCES.finditer(line)] for line in lines]
+    total = sum(size for line in parts for _, size in line)
+    under = total - sum(size for _, size in parts[0]) if titled else 0
+    covered = below = 0
+    left, left_below = total, under
+    for number, line in enumerate(parts):
+        for sentence, size in line:
+            left -= size
+            counts = "\x01" not in sentence and (finder.covers(plain(sentence)) or mumbled([w.lower() for w in _WORD.findall(sentence)]))
+            covered += size * counts
+            if number:
+                left_below -= size
+                below += size * counts
+            if covered + left < COVERED * total and (not under or below + left_below < COVERED * under):
+                return False
+    return (total > 0 and covered >= COVERED * total) or (under > 0 and below >= COVERED * under)
 
 
 def residue(documents: DataFrame) -> DataFrame:

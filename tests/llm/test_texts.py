@@ -236,6 +236,38 @@ def test_a_page_in_a_long_text_is_no_residue():
     assert residue.judged(finder, long + "[enter ticket]") == "placeholder"
 
 
+def test_stopping_early_changes_nothing():
+    finder = residue.Finder()
+
+    def whole(lines):
+        parts = [m[0] for line in lines for m in residue._SENTENCES.finditer(line)]
+        sizes = [sum(not c.isspace() for c in p) for p in parts]
+        good = [
+            "\x01" not in p and (finder.covers(residue.plain(p)) or residue.mumbled([w.lower() for w in residue._WORD.findall(p)]))
+            for p in parts
+        ]
+        return sum(sizes) > 0 and sum(n for n, g in zip(sizes, good) if g) >= residue.COVERED * sum(sizes)
+
+    rng = random.Random(9)
+    parts = [x for t in RESIDUE + CONTENT if t for line in t.split("\n") if line.strip() for x in (line, line.split(".")[0] + ".")]
+    parts += ["blah blah blah blah blah.", "x \x01\x01 y", "Request id 0123456789abcdef", "…", "| |"]
+    answers = set()
+    for _ in range(3000):
+        lines = [" ".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(rng.randint(1, 4))]
+        for titled in {False, len(lines) > 1}:
+            want = whole(lines) or (titled and whole(lines[1:]))
+            assert residue._covered(finder, lines, titled) == want
+            answers.add(want)
+    assert answers == {True, False}
+
+
+def test_covered_without_phrases_or_with_character_references():
+    finder = residue.Finder()
+    assert residue.judged(finder, "Oops! This page isn&#39;t available.") == "page"
+    mumbling = "blah blah blah blah blah. content content content content content. text text text text text. foo foo foo foo foo."
+    assert residue.judged(finder, mumbling) == "page"
+
+
 def test_clean_documents(spark):
     df = documents(spark, [RESIDUE[0], CONTENT[4], None])
     df = df.unionByName(df.limit(1))
