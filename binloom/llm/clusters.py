@@ -187,6 +187,24 @@ def _similarity() -> F.Column:
     return F.col("shared") / (F.col("n_bin") + F.col("n_hub") - F.col("shared"))
 
 
+def dropped(conflicts: DataFrame) -> DataFrame:
+    """(bin): the bins of ``conflicts`` (closer, bin) that conflict with a closer bin that is kept.
+
+    Bins without an open conflict with a closer one are kept for sure, and
+    those in conflict with them dropped, until none is open.
+    """
+    spark = conflicts.sparkSession
+    out, now = None, conflicts
+    while not now.isEmpty():
+        kept = now.select(F.col("closer").alias("bin")).distinct().join(now.select("bin"), "bin", "left_anti")
+        gone = written(now.join(kept.withColumnRenamed("bin", "closer"), "closer", "left_semi").select("bin").distinct(), "gone")
+        out = gone if out is None else out.unionByName(gone)
+        then = written(now.join(gone, "bin", "left_anti").join(gone.withColumnRenamed("bin", "closer"), "closer", "left_anti"), "open")
+        forget(spark, now)
+        now = then
+    return conflicts.select("bin") if out is None else out
+
+
 def clusters(
     bins: DataFrame, nodes: DataFrame, positions: DataFrame | None = None, least: float = 0.4
 ) -> DataFrame:
@@ -237,12 +255,13 @@ def clusters(
             .filter((F.col("fx") + F.col("fy") > 1 - least) & (F.struct("fy", "y") < F.struct("fx", "x")))
             .select(F.col("y").alias("bin"), F.col("x").alias("hub"))
         )
-        out = (
+        conflicts = written(
             runs.shared_counts(written(doubtful, "doubtful"), picked, reps)
             .filter(_similarity() < least)
-            .select(F.col("hub").alias("bin"))
-            .distinct()
+            .select(F.col("bin").alias("closer"), F.col("hub").alias("bin")),
+            "conflicts",
         )
+        out = dropped(conflicts)
         kept = star.join(out, "bin", "left_anti").select("bin", "medoid", (F.lit(1) - F.col("far")).alias("similarity"))
         centres = members.filter("bin = medoid").select("bin", "medoid", F.lit(1.0).alias("similarity"))
         placed = written(kept.unionByName(centres), "placed")

@@ -136,6 +136,13 @@ def test_pairs_with_a_common_core(spark):
     assert sorted(map(sorted, by.values())) == [[b, b + 1] for b in range(0, 100, 2)]
 
 
+def test_only_conflicts_with_kept_bins_count(spark):
+    pairs = [(1, 2), (2, 3), (3, 4), (2, 4), (7, 8), (7, 9), (8, 9)]
+    got = clusters.dropped(spark.createDataFrame(pairs, "closer bigint, bin bigint"))
+    assert sorted(r[0] for r in got.collect()) == [2, 4, 8, 9]
+    assert clusters.dropped(spark.createDataFrame([], "closer bigint, bin bigint")).count() == 0
+
+
 def test_clusters_of_nothing(spark):
     bins = frame(spark, {1: {1}})
     none = spark.createDataFrame([], "user_bin_id bigint")
