@@ -100,7 +100,7 @@ _DUMP = re.compile(
 _FENCES = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<pre\b.*?(?:</pre>|\Z)|<code\b.*?(?:</code>|\Z)", re.S | re.I)
 _INLINE = re.compile(r"`[^`\n]+`")
 _INDENTED = re.compile(r"(?m)^(?: {4}|\t).*$")
-_QUOTED = re.compile(r"\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|„[^“”\n]{1,400}[“”]|«[^»\n]{1,400}»|「[^」\n]{1,400}」|<noscript>(?:(?!<noscript>).)*?</noscript>|<blockquote\b.*?</blockquote>", re.S | re.I)
+_QUOTED = re.compile(r"\"[^\"\n]+\"|“[^”\n]+”|„[^“”\n]+[“”]|«[^»\n]+»|「[^」\n]+」|<noscript>(?:(?!<noscript>).)*?</noscript>|<blockquote\b.*?</blockquote>", re.S | re.I)
 _CITED = re.compile(r"(?m)^\s*>.*$")
 
 _NAME = r"[ ]?[^\W\d][\w .]{0,40}[ ]?"

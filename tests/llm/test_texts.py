@@ -268,6 +268,12 @@ def test_covered_without_phrases_or_with_character_references():
     assert residue.judged(finder, mumbling) == "page"
 
 
+def test_long_quotations_are_quotations():
+    quoted = "Error 404: Not Found. The page you were looking for could not be found. " * 8
+    for before, after in ('""', "“”", "„“", "«»", "「」"):
+        assert residue.judged(residue.Finder(), f"The pump answers {before}{quoted}{after} now.") is None
+
+
 def test_clean_documents(spark):
     df = documents(spark, [RESIDUE[0], CONTENT[4], None])
     df = df.unionByName(df.limit(1))
