@@ -181,8 +181,10 @@ def count(index: Filter, queries: DataFrame, strategy: str = "auto") -> DataFram
 
     ``join`` looks words up by a join and scales with the cluster; ``broadcast``
     sends the whole filter to the executors, and is refused above
-    ``BROADCAST_BITS``; ``auto`` takes it where it is allowed.
+    ``BROADCAST_BITS``; ``auto`` takes it where it is allowed. Rows without
+    ``query_id`` are left out by either.
     """
+    queries = queries.filter(F.col("query_id").isNotNull())
     if _broadcasts(index, strategy):
         return _count_in_arrow(index, queries.select("query_id", "value", F.lit(1).cast("bigint").alias("t")))
     mult = queries.filter(F.col("value").isNotNull()).groupBy("query_id", "value").agg(F.count(F.lit(1)).alias("m"))
@@ -264,8 +266,10 @@ def count_all(index: Filter, queries: DataFrame) -> DataFrame:
 def membership(index: Filter, queries: DataFrame, threshold: Column | int = 1, strategy: str = "auto") -> DataFrame:
     """(query_id, user_bin_id): bins whose count reaches the threshold; at 0 all bins.
 
-    Of thresholds that differ within a query the largest holds.
+    Of thresholds that differ within a query the largest holds. Rows without
+    ``query_id`` are left out.
     """
+    queries = queries.filter(F.col("query_id").isNotNull())
     t = threshold if isinstance(threshold, Column) else F.lit(threshold)
     if isinstance(threshold, int) and threshold > 0:
         limits = None

@@ -76,6 +76,15 @@ def test_strategies_agree(spark, monkeypatch):
     assert flat.count(index, q).count() > 0
 
 
+def test_rows_without_query_id_are_left_out(spark):
+    index = flat.build(frame(spark, {0: range(40), 1: range(9, 30)}), 2, 211)
+    q = spark.createDataFrame([(1, 5), (1, 10), (None, 5), (None, 11)], "query_id bigint, value bigint")
+    for strategy in ("join", "broadcast"):
+        assert {r[0] for r in flat.count(index, q, strategy).collect()} == {1}
+        for t in (1, 0):
+            assert {r[0] for r in flat.membership(index, q, t, strategy).collect()} == {1}
+
+
 def test_small_filter_has_false_positives(spark):
     index = flat.build(frame(spark, {b: range(10) for b in range(3)}), 8, 8, 1)
     counts = {(r[0], r[1]): r[2] for r in flat.count_all(index, asked(spark, {0: range(10)})).collect()}
