@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from binloom.operators import skew
-from binloom.session import table, written
+from binloom.session import scratch, table, written
 
 
 def _profile(spark: SparkSession, d: str) -> DataFrame:
@@ -13,7 +13,9 @@ def _profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return skew.heavy_bins(written(_profile(spark, d), "profile"))
+    with scratch(spark) as keep:
+        profile = keep(written(_profile(spark, d), "profile"))
+    return skew.heavy_bins(profile)
 
 
 def p5_profile(spark: SparkSession, d: str) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,12 +19,19 @@ _written: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is set."""
+    """The folder all executors share; one of our own only where none is set and there is one machine.
+
+    On a cluster a folder of one machine would lose rows, so there it is an
+    error that none is set.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = known.get() if known.isDefined() else None
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         folder = "file://" + tempfile.mkdtemp(prefix="binloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -43,12 +52,31 @@ def forget(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete the tables behind ``frames``; without frames, all this session wrote."""
     mine = _written.get(spark.sparkContext.applicationId, [])
     paths = [getattr(f, "_binloom_path", None) for f in frames] if frames else list(mine)
+    _delete(spark, [p for p in paths if p in mine])
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark.sparkContext._jvm
     for path in paths:
-        if path in mine:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-            mine.remove(path)
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _written[spark.sparkContext.applicationId].remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables written in its block, but for those handed to what it yields."""
+    mine = _written.setdefault(spark.sparkContext.applicationId, [])
+    before, kept = set(mine), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._binloom_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _delete(spark, [p for p in mine if p not in before and p not in kept])
 
 
 def parallelism(spark: SparkSession) -> int:

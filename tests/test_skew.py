@@ -42,3 +42,41 @@ def test_salted_aggregate(spark, rows):
     got = skew.salted_aggregate(rows, "user_bin_id", ["value"], {"s": F.sum("value"), "m": F.max("value")}, {"s": F.sum("s"), "m": F.max("m")}, 200)
     plain = rows.groupBy("user_bin_id").agg(F.sum("value"), F.max("value"))
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in plain.collect()}
+
+
+@pytest.mark.parametrize("value", ["7", "cast(null as bigint)"])
+def test_a_hot_value_is_combined_before_the_shuffle(spark, capacities, value):
+    one = spark.range(0, 90_000, 1, 4).selectExpr("1 as user_bin_id", f"{value} as value", "0 as batch_id")
+    rest = spark.range(10_000).selectExpr("1 as user_bin_id", "id + 100 as value", "1 as batch_id")
+    once = one.union(rest).groupBy("user_bin_id", "batch_id", "value").agg(F.count(F.lit(1)).alias("n"))
+    pieces = skew.salted(once, "user_bin_id", ["value"], 1000).groupBy(skew.SALT).agg(F.count(F.lit(1)).alias("rows")).collect()
+    assert len(pieces) == 11 and max(r["rows"] for r in pieces) < 1300
+    got = tuple(skew.bin_profile(one.union(rest), capacities, 1000).first())
+    assert got == (1, 100_000, 10_000 + (value == "7"), 2, 15 + (value == "7"))
+
+
+def test_a_machine_folder_is_refused_on_a_cluster(monkeypatch):
+    from binloom import session
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        class _jsc:
+            sc = staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))}))
+
+    class Session:
+        sparkContext = Context
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(Session)
+
+
+def test_scratch_keeps_what_is_kept(spark):
+    import os
+
+    from binloom.session import scratch, written
+
+    with scratch(spark) as keep:
+        a, b = written(spark.range(3)), keep(written(spark.range(4)))
+    assert b.count() == 4 and not os.path.exists(a._binloom_path.removeprefix("file://"))
