@@ -7,11 +7,16 @@ mutually similar are split around their medoids.
 A group is never compared pair by pair unless it must be. Equal sets are
 collapsed first. A bucket of a band compares its members with one of them;
 further pairs are compared only where a member is not like that one and the
-distances do not tell. Bins left over by a round are linked anew among themselves.
-Within a component all members are compared with the medoid; as Jaccard
-distance obeys the triangle inequality, two members whose distances to the
-medoid add up to no more than the allowed distance are similar without being
-compared, and only the rest are compared with each other.
+distances do not tell. In a component all members are compared with the medoid;
+as Jaccard distance obeys the triangle inequality, two members whose distances
+to the medoid add up to no more than the allowed distance are similar without
+being compared. Of the rest the closest few are decided first, and only what is
+like all of them that stay is compared among itself, so that pairs are compared
+in number only where they are alike and belong into the result.
+
+Members that do not fit are linked anew among themselves. What is left of loose
+groups is split around many medoids at once: every bin that ranks best within
+``HOPS`` links.
 """
 
 from __future__ import annotations
@@ -20,46 +25,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from binloom.llm import runs
-from binloom.session import forget, written
+from binloom.session import forget, scratch, written
 
-#: Bands of two rows: sets of similarity 0.4 share none of them once in 70,000 pairs.
-BANDS = 64
+#: Bands and their rows: sets of similarity 0.4 share none once in 4,700 pairs, of 0.1 one only in 8 of 9.
+BANDS = 128
+ROWS = 3
 #: Orders by which a bucket's hub is chosen, one for each band modulo this.
 ORDERS = 4
-#: Members of a bucket whose pairs with all others are one task's.
+#: Members of a bucket, or of a star, whose pairs with all others are one task's.
 SPREAD = 1024
+#: Closest members of a star that are decided before the rest.
+FIRST = 16
+#: Links within which a medoid of a loose group ranks best.
+HOPS = 4
 
 _rng = np.random.Generator(np.random.PCG64(20240501))
-_MASKS = _rng.integers(0, 2**64, (BANDS, 2), np.uint64)
-_FACTORS = _rng.integers(0, 2**64, (BANDS, 2), np.uint64) | np.uint64(1)
+_MASKS = _rng.integers(0, 2**64, (BANDS, ROWS), np.uint64)
+_FACTORS = _rng.integers(0, 2**64, (BANDS, ROWS), np.uint64) | np.uint64(1)
 
-_BANDS = "bin bigint, band int, h0 bigint, h1 bigint"
-_BANDS_ARROW = pa.schema([("bin", pa.int64()), ("band", pa.int32()), ("h0", pa.int64()), ("h1", pa.int64())])
+_MINIMA = [f"h{i}" for i in range(ROWS)]
+_BANDS = "bin bigint, band int, " + ", ".join(f"{h} bigint" for h in _MINIMA)
+_BANDS_ARROW = pa.schema([("bin", pa.int64()), ("band", pa.int32()), *((h, pa.int64()) for h in _MINIMA)])
 
 
 def _minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The two minima of every band, for each run."""
+    """The minima of every band, for each run."""
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
             batch = whole.slice(at, 512)
             parts = [runs.decode(x) for x in batch.column("run").to_pylist()]
             starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
             codes = np.concatenate(parts).view(np.uint64)
-            out = np.empty((2, len(parts), BANDS), np.int64)
+            out = np.empty((ROWS, len(parts), BANDS), np.int64)
             for band in range(BANDS):
-                for row in range(2):
+                for row in range(ROWS):
                     hashed = (codes ^ _MASKS[band, row]) * _FACTORS[band, row]
                     out[row, :, band] = np.minimum.reduceat(hashed, starts).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.repeat(batch.column("bin").to_numpy(), BANDS)),
                     pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(parts))),
-                    pa.array(out[0].ravel()),
-                    pa.array(out[1].ravel()),
+                    *(pa.array(x.ravel()) for x in out),
                 ],
                 schema=_BANDS_ARROW,
             )
@@ -75,15 +85,10 @@ def buckets(picked: DataFrame) -> DataFrame:
         .select(*columns)
         .mapInArrow(_minima, _BANDS)
         .groupBy("bin", "band")
-        .agg(F.min(F.col("h0").bitwiseXOR(flip)).alias("h0"), F.min(F.col("h1").bitwiseXOR(flip)).alias("h1"))
-        .select("bin", "band", F.col("h0").bitwiseXOR(flip).alias("h0"), F.col("h1").bitwiseXOR(flip).alias("h1"))
-    )
-    return written(
-        single.unionByName(several).select(
-            "bin", "band", F.xxhash64("band", "h0", "h1").alias("bucket")
-        ),
-        "bands",
+        .agg(*[F.min(F.col(h).bitwiseXOR(flip)).alias(h) for h in _MINIMA])
+        .select("bin", "band", *[F.col(h).bitwiseXOR(flip).alias(h) for h in _MINIMA])
     )
+    return written(single.unionByName(several).select("bin", "band", F.xxhash64("band", *_MINIMA).alias("bucket")), "bands")
 
 
 def links(bands: DataFrame, picked: DataFrame, reps: DataFrame, least: float) -> DataFrame:
@@ -94,7 +99,6 @@ def links(bands: DataFrame, picked: DataFrame, reps: DataFrame, least: float) ->
     are left out that cannot be similar, as their distances to the hub differ
     by more than the allowed distance; all the rest are compared.
     """
-    spark = bands.sparkSession
     n = reps.select("bin", "n")
     order = F.xxhash64("bin", F.col("band") % F.lit(ORDERS))
     hubs = (
@@ -145,9 +149,7 @@ def links(bands: DataFrame, picked: DataFrame, reps: DataFrame, least: float) ->
         .join(spokes, ["bin", "hub"], "left_anti")
     )
     found = runs.shared_counts(written(more, "more"), picked, reps).select("bin", "hub", _similarity().alias("similarity"))
-    edges = written(measured.unionByName(found).filter(F.col("similarity") >= least).select("bin", "hub"), "edges")
-    forget(spark, members)
-    return edges
+    return written(measured.unionByName(found).filter(F.col("similarity") >= least).select("bin", "hub"), "edges")
 
 
 def components(edges: DataFrame, a: str = "bin", b: str = "hub") -> DataFrame:
@@ -205,6 +207,51 @@ def dropped(conflicts: DataFrame) -> DataFrame:
     return conflicts.select("bin") if out is None else out
 
 
+def best_nearby(edges: DataFrame, scored: DataFrame) -> DataFrame:
+    """(bin, medoid): bins whose best bin within ``HOPS`` links is itself the best within as many."""
+    both = edges.select("bin", "hub").union(edges.select("hub", "bin"))
+    both = written(both.union(both.select("bin", "bin")).distinct(), "both")
+    best = both.select("bin").distinct().join(scored.select("bin", F.col("rank").alias("best")), "bin")
+    for _ in range(HOPS):
+        spread = both.join(best.withColumnRenamed("bin", "hub"), "hub")
+        best = written(spread.groupBy("bin").agg(F.min("best").alias("best")), "best")
+    medoids = best.filter(F.col("best.bin") == F.col("bin")).select(F.col("bin").alias("medoid"))
+    return best.select("bin", F.col("best.bin").alias("medoid")).join(medoids, "medoid", "left_semi")
+
+
+def _conflicts(pairs: DataFrame, picked: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """(closer, bin): those of ``pairs`` (bin, hub), the closer as ``bin``, that are not similar."""
+    unlike = runs.shared_counts(written(pairs, "doubtful"), picked, reps).filter(_similarity() < least)
+    return written(unlike.select(F.col("bin").alias("closer"), F.col("hub").alias("bin")), "conflicts")
+
+
+def fitting(star: DataFrame, picked: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """The rows of ``star`` (bin, medoid, far) that stay: by distance, each that is like all closer ones that stay."""
+    allowed = 1 - least
+
+    def pairs(x: DataFrame, y: DataFrame, on: list[str]) -> DataFrame:
+        x = x.filter(F.col("far") > allowed / 2).withColumnsRenamed({"bin": "x", "far": "fx"})
+        y = y.withColumnsRenamed({"bin": "y", "far": "fy"})
+        doubtful = (F.col("fx") + F.col("fy") > allowed) & (F.struct("fy", "y") < F.struct("fx", "x"))
+        return x.join(y, on).filter(doubtful).select(F.col("y").alias("bin"), F.col("x").alias("hub"))
+
+    place = F.row_number().over(Window.partitionBy("medoid").orderBy("far", "bin"))
+    first = written(star.withColumn("place", place).filter(F.col("place") <= FIRST).drop("place"), "first")
+    out = dropped(_conflicts(pairs(first, first, ["medoid"]), picked, reps, least))
+    kept = written(first.join(out, "bin", "left_anti"), "kept")
+    rest = written(star.join(first.select("bin"), "bin", "left_anti"), "rest")
+    if rest.isEmpty():
+        return kept
+    out = _conflicts(pairs(rest, kept, ["medoid"]), picked, reps, least).select("bin").distinct()
+    rest = written(rest.join(out, "bin", "left_anti"), "rest")
+    salts = rest.groupBy("medoid").agg(F.ceil(F.count(F.lit(1)) / F.lit(SPREAD)).cast("int").alias("salts"))
+    salted = rest.join(salts, "medoid")
+    x = salted.withColumn("salt", F.pmod(F.xxhash64("bin"), F.col("salts").cast("bigint")).cast("int")).drop("salts")
+    y = salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    out = dropped(_conflicts(pairs(x, y, ["medoid", "salt"]), picked, reps, least))
+    return kept.unionByName(rest.join(out, "bin", "left_anti"))
+
+
 def clusters(
     bins: DataFrame, nodes: DataFrame, positions: DataFrame | None = None, least: float = 0.4
 ) -> DataFrame:
@@ -216,9 +263,14 @@ def clusters(
     ties go to the place in the layout order (``positions``), then to the
     smaller id. A bin like no other is a cluster of its own, as is one without
     values. Nulls in any column, repeated nodes and rows, and nodes without
-    sketch change nothing; empty tables give no rows.
+    sketch change nothing; empty tables give no rows. The result is a written
+    table.
     """
-    spark = bins.sparkSession
+    with scratch(bins.sparkSession) as keep:
+        return keep(written(_clusters(bins, nodes, positions, least), "clusters"))
+
+
+def _clusters(bins: DataFrame, nodes: DataFrame, positions: DataFrame | None, least: float) -> DataFrame:
     leaves = nodes.filter(F.col("user_bin_id").isNotNull()).select("user_bin_id").distinct()
     codes = written(runs.distinct_codes(bins.join(leaves, "user_bin_id", "left_semi")), "codes")
     sets = written(runs.classes(codes), "sets")
@@ -234,39 +286,30 @@ def clusters(
     degrees = (
         edges.select("bin").unionAll(edges.select("hub")).groupBy("bin").agg(F.count(F.lit(1)).alias("degree"))
     )
-    rank = F.struct(-F.col("degree"), F.coalesce("place", F.lit(2**62)), "bin")
+    rank = F.struct((-F.col("degree")).alias("links"), F.coalesce("place", F.lit(2**62)).alias("place"), F.col("bin"))
     scored = written(degrees.join(place, "bin").select("bin", "degree", rank.alias("rank")), "scored")
 
     done = None
     rest = edges
     while not rest.isEmpty():
-        grouped = components(rest).join(scored.withColumnRenamed("bin", "node"), "node")
-        medoids = grouped.groupBy("component").agg(F.min_by("node", "rank").alias("medoid"))
-        members = written(grouped.join(medoids, "component").select("medoid", F.col("node").alias("bin"), "degree"), "members")
+        if done is None:
+            grouped = components(rest).join(scored.withColumnRenamed("bin", "node"), "node")
+            medoids = grouped.groupBy("component").agg(F.min_by("node", "rank").alias("medoid"))
+            members = grouped.join(medoids, "component").select("medoid", F.col("node").alias("bin"))
+        else:
+            members = best_nearby(rest, scored)
+        members = written(members, "members")
         star = runs.shared_counts(
             members.filter("bin <> medoid").select("bin", F.col("medoid").alias("hub")), picked, reps
         ).select("bin", F.col("hub").alias("medoid"), (F.lit(1) - _similarity()).alias("far"))
         slack = 1e-9
         star = written(star.filter(F.col("far") <= 1 - least + slack), "star")
-        x = star.filter(F.col("far") > (1 - least) / 2).select("medoid", F.col("bin").alias("x"), F.col("far").alias("fx"))
-        y = star.select("medoid", F.col("bin").alias("y"), F.col("far").alias("fy"))
-        doubtful = (
-            x.join(y, "medoid")
-            .filter((F.col("fx") + F.col("fy") > 1 - least) & (F.struct("fy", "y") < F.struct("fx", "x")))
-            .select(F.col("y").alias("bin"), F.col("x").alias("hub"))
-        )
-        conflicts = written(
-            runs.shared_counts(written(doubtful, "doubtful"), picked, reps)
-            .filter(_similarity() < least)
-            .select(F.col("bin").alias("closer"), F.col("hub").alias("bin")),
-            "conflicts",
-        )
-        out = dropped(conflicts)
-        kept = star.join(out, "bin", "left_anti").select("bin", "medoid", (F.lit(1) - F.col("far")).alias("similarity"))
+        kept = fitting(star, picked, reps, least).select("bin", "medoid", (F.lit(1) - F.col("far")).alias("similarity"))
         centres = members.filter("bin = medoid").select("bin", "medoid", F.lit(1.0).alias("similarity"))
         placed = written(kept.unionByName(centres), "placed")
         done = placed if done is None else done.unionByName(placed)
-        left = written(members.select("bin").join(placed.select("bin"), "bin", "left_anti"), "left")
+        linked = rest.select("bin").union(rest.select("hub")).distinct()
+        left = written(linked.join(placed.select("bin"), "bin", "left_anti"), "left")
         if left.isEmpty():
             break
         rest = links(bands.join(left, "bin", "left_semi"), picked, reps, least)
@@ -288,7 +331,6 @@ def clusters(
     bare = leaves.join(filled.select("user_bin_id"), "user_bin_id", "left_anti").select(
         "user_bin_id", F.col("user_bin_id").alias("cluster"), F.lit(1.0).alias("similarity"), F.lit(0).cast("bigint").alias("degree")
     )
-    forget(spark, codes)
     return filled.unionByName(bare)
 
 
@@ -307,7 +349,7 @@ def described(grouped: DataFrame, typical: int = 3) -> DataFrame:
         F.count(F.lit(1)).alias("size"), F.round(F.avg("similarity"), 6).alias("mean_similarity")
     )
     firsts = ranked.select("cluster", "o").withColumn(
-        "rn", F.row_number().over(_by_cluster())
+        "rn", F.row_number().over(Window.partitionBy("cluster").orderBy("o"))
     ).filter(F.col("rn") <= typical)
     tops = firsts.groupBy("cluster").agg(F.sort_array(F.collect_list("o")).alias("t"))
     return sizes.join(tops, "cluster").select(
@@ -315,14 +357,14 @@ def described(grouped: DataFrame, typical: int = 3) -> DataFrame:
     )
 
 
-def _by_cluster():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("cluster").orderBy("o")
-
-
 def pairs(grouped: DataFrame) -> DataFrame:
     """(user_bin_a, user_bin_b): the pairs of different bins in one cluster, smaller id first."""
     a = grouped.select("cluster", F.col("user_bin_id").alias("user_bin_a"))
     b = grouped.select("cluster", F.col("user_bin_id").alias("user_bin_b"))
     return a.join(b, "cluster").filter("user_bin_a < user_bin_b").select("user_bin_a", "user_bin_b")
+
+
+def members(grouped: DataFrame) -> DataFrame:
+    """(user_bin_id, first_bin, size): the compact form of :func:`pairs`; a cluster is named by its smallest bin."""
+    sizes = grouped.groupBy("cluster").agg(F.min("user_bin_id").alias("first_bin"), F.count(F.lit(1)).alias("size"))
+    return grouped.join(sizes, "cluster").select("user_bin_id", "first_bin", "size")

@@ -136,6 +136,54 @@ def test_pairs_with_a_common_core(spark):
     assert sorted(map(sorted, by.values())) == [[b, b + 1] for b in range(0, 100, 2)]
 
 
+def test_recall_against_a_like_background(spark):
+    """Pairs of similarity 0.43 among sets of 0.39: at least 99 in 100 of 200 end in one cluster."""
+    rng = random.Random(11)
+    core, sets = rng.sample(range(10**6), 561), {}
+    for k in range(200):
+        both = [10**7 + 41 * k + i for i in range(41)]
+        for b in (2 * k, 2 * k + 1):
+            sets[b] = {*core, *both, *range(10**9 + 398 * b, 10**9 + 398 * (b + 1))}
+    assert 0.425 < similarity(sets[0], sets[1]) < 0.435 and 0.385 < similarity(sets[0], sets[2]) < 0.395
+    _, by = check(spark, sets)
+    assert sum(m == [m[0], m[0] + 1] and m[0] % 2 == 0 for m in map(sorted, by.values()) if len(m) == 2) >= 198
+
+
+def test_loose_stars_are_decided_exactly(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "FIRST", 3)
+    monkeypatch.setattr(clusters, "SPREAD", 4)
+    rng = random.Random(12)
+    whole = list(range(200))
+    sets = {0: set(whole)} | {b: set(rng.sample(whole, rng.randint(90, 150))) for b in range(1, 40)}
+    codes = runs.distinct_codes(frame(spark, sets)).persist()
+    sizes = runs.classes(codes).select("bin", "n").persist()
+    picked = runs.sorted_runs(codes, sizes).persist()
+    far = sorted((1 - similarity(sets[0], sets[b]), b) for b in range(1, 40))
+    star = spark.createDataFrame([(b, 0, f) for f, b in far], "bin bigint, medoid bigint, far double")
+    kept = []
+    for _, b in far:
+        if all(similarity(sets[b], sets[c]) >= 0.5 for c in kept):
+            kept.append(b)
+    star = star.filter("far <= 0.5")
+    kept = [b for b in kept if 1 - similarity(sets[0], sets[b]) <= 0.5]
+    assert sorted(r["bin"] for r in clusters.fitting(star, picked, sizes, 0.5).collect()) == sorted(kept)
+
+
+def test_long_chains_are_split_around_many_medoids(spark):
+    sets = {b: set(range(40 * b, 40 * b + 100)) for b in range(60)}
+    edges = spark.createDataFrame([(b, b + 1) for b in range(59)], "bin bigint, hub bigint")
+    scored = spark.createDataFrame([(b, 2) for b in sets], "bin bigint, degree bigint").selectExpr("bin", "degree", "struct(-degree as links, bin * 7919 % 61 as place, bin) as rank")
+    chosen = {r["medoid"] for r in clusters.best_nearby(edges, scored).collect()}
+    assert len(chosen) > 3 and all(abs(a - b) > clusters.HOPS for a, b in itertools.combinations(chosen, 2))
+    check(spark, sets)
+
+
+def test_members(spark):
+    rows = [(5, 7, 1.0, 1), (7, 7, 1.0, 1), (9, 9, 1.0, 0)]
+    grouped = spark.createDataFrame(rows, "user_bin_id bigint, cluster bigint, similarity double, degree bigint")
+    assert sorted(map(tuple, clusters.members(grouped).collect())) == [(5, 5, 2), (7, 5, 2), (9, 9, 1)]
+
+
 def test_only_conflicts_with_kept_bins_count(spark):
     pairs = [(1, 2), (2, 3), (3, 4), (2, 4), (7, 8), (7, 9), (8, 9)]
     got = clusters.dropped(spark.createDataFrame(pairs, "closer bigint, bin bigint"))
@@ -169,10 +217,10 @@ def brute(sets, least, share):
     }
 
 
-@pytest.mark.parametrize("hot", [2, 64])
-def test_overlaps_equal_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(overlaps, "HOT", hot)
-    rng = random.Random(hot)
+@pytest.mark.parametrize("spread", [2, 1024])
+def test_overlaps_equal_brute_force(spark, monkeypatch, spread):
+    monkeypatch.setattr(overlaps, "SPREAD", spread)
+    rng = random.Random(spread)
     common = list(range(10_000, 10_150))
     sets = {b: set(rng.sample(range(3000), rng.randint(20, 900))) | set(rng.sample(common, 15)) for b in range(1, 26)}
     sets |= {b: set(rng.sample(common, 110)) for b in (31, 32, 33)}  # nothing but values that all have
@@ -183,6 +231,26 @@ def test_overlaps_equal_brute_force(spark, monkeypatch, hot):
     assert len(got) == len({(r[0], r[1]) for r in got})
 
 
+def test_a_value_that_all_sets_have_is_not_looked_up(spark):
+    own = spark.range(5000 * 100).selectExpr("id % 5000 as user_bin_id", "id + 10 as value")
+    twice = spark.range(100).selectExpr("6000 as user_bin_id", "id * 5000 + 10 as value")  # one set again
+    hot = spark.range(5000).selectExpr("id as user_bin_id", "1 as value")
+    listed, strong = overlaps.overlaps(own.union(hot).union(twice), 100, 0.2)
+    assert [tuple(r) for r in strong.collect()] == [(6000, 0, 100, 100, 101)]
+    codes = runs.distinct_codes(own.union(hot)).join(listed.selectExpr("user_bin_id as bin", "n"), "bin")
+    index = codes.join(codes.groupBy("code").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "code")
+    assert overlaps.candidates(index, 0.2).count() == 0
+
+
+def test_sampled_sets_are_found(spark):
+    """Sets of 3,000 values, of which a fifth are probes, that share just enough: none of 300 pairs is missed."""
+    n = 3000
+    left = spark.range(300 * n).selectExpr(f"id div {n} as user_bin_id", "id as value")
+    right = spark.range(300 * n).selectExpr(f"id div {n} + 1000 as user_bin_id", f"id + IF(id % {n} < {n // 5}, 0, 100000000) as value")
+    _, strong = overlaps.overlaps(left.union(right))
+    assert sorted((r["bin"], r["hub"], r["shared"]) for r in strong.collect()) == [(b, b + 1000, n // 5) for b in range(300)]
+
+
 def test_no_overlaps(spark):
     bins = frame(spark, {1: range(10), 2: range(10)})
     for df in (bins, bins.limit(0)):
@@ -260,6 +328,32 @@ def test_packing_is_valid_and_tight(spark, monkeypatch, open_, chunk, slack):
         assert len(use) <= least * slack + 2
 
 
+@pytest.mark.parametrize("lengths", [[1] * 3000, [k % 97 + 3 for k in range(3000)], [250 + k % 7 for k in range(900)]])
+def test_leftovers_are_merged_in_rounds(spark, monkeypatch, lengths):
+    """Three rounds or more, in each of which no chunk has many more windows than it may."""
+    monkeypatch.setattr(packing, "OPEN", 4)
+    monkeypatch.setattr(packing, "CHUNK", 20)
+    monkeypatch.setattr(packing, "BLOCK", 8)
+    rows, things, caps = laid_out(spark, lengths, 100, 1)
+    assert sorted(r["user_bin_id"] for r in rows) == list(range(len(lengths)))
+    told = packing.checked(packing.packed(things, caps), caps, 0.25).first()
+    assert (told["fits"], told["gapless"], told["split_only_long"]) == (True, True, True)
+    assert told["tight"] or min(lengths) > 50  # 50 and more of 100 leave room that nothing fits into
+
+
+def test_checked_sees_faults(spark):
+    caps = spark.createDataFrame([(1, 10)], "batch_id bigint, tb_capacity bigint")
+    schema = "batch_id bigint, user_bin_id bigint, length bigint, storage_tb bigint, n_tbs bigint"
+    good = [(1, 1, 25, 0, 3), (1, 2, 5, 2, 1), (1, 3, 10, 3, 1)]
+    faults = {"fits": (1, 2, 6, 2, 1), "gapless": (1, 2, 5, 5, 1), "split_only_long": (1, 2, 5, 2, 2)}
+    for name, row in [(None, good[1]), *faults.items()]:
+        told = packing.checked(spark.createDataFrame([good[0], row, good[2]], schema), caps).first()
+        if name is None:
+            assert all(told[c] for c in ("fits", "gapless", "split_only_long", "tight"))
+        else:
+            assert not told[name]
+
+
 def test_packing_is_the_same_in_every_run(spark):
     a = laid_out(spark, [37 * i % 500 for i in range(200)], 700)[0]
     b = laid_out(spark, [37 * i % 500 for i in range(200)], 700)[0]
