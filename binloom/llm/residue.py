@@ -1,12 +1,17 @@
 """Template residue and error-page text (problem 8).
 
-A multi-pattern automaton finds phrases of error, block and check pages, of
-notices that scripts or cookies are needed, of page furniture and of filler, in
-several languages. A sentence of which matches make up a good part counts as
-covered, as does pseudo-Latin, a word repeated over and over, or a run over the
-keys. A text is residue when what is covered makes up most of it, or most of
-its body under a title. Unfilled placeholders and printed missing values are
-residue wherever the author's own prose has them.
+One multi-pattern automaton finds phrases of error, block and check pages, of
+notices that scripts or cookies are needed, of page furniture, of failing
+programs and of filler, in several languages; a word for scripts and a word for
+what has to be done with them count with all that stands between them. A sentence
+of whose letters matches make up a good part counts as covered, however long it
+is; words with digits, such as references, do not count at all, and a sentence in
+which the author tells what they did is not covered unless it is nothing but
+phrases. Pseudo-Latin, a word repeated over and over, and runs over the keys have
+no phrases and count as covered by their words. A text is residue when what is
+covered makes up most of it, or most of its body under a title. Unfilled
+placeholders and printed missing values are residue wherever the author's own
+prose has them.
 
 Code, quotations and quoted lines are what a post talks about: they are never
 covered, and code and quotations count as text that is not.
@@ -28,8 +33,12 @@ from binloom.session import spread
 
 #: Part of a text, or of its body, that has to be covered.
 COVERED = 0.6
-#: Part of a sentence that matches have to make up.
+#: Part of a sentence's letters that matches have to make up.
 SENTENCE = 0.3
+#: Part of them in a sentence that tells what somebody did.
+TOLD = 0.75
+#: Characters between a word for scripts and what has to be done with them.
+REACH = 40
 
 # Phrases, lower case, without accents and with single blanks.
 ERRORS = (
@@ -79,29 +88,43 @@ LATIN = (
 ).split()
 _SYLLABLES = re.compile(r"(?:lo|rem|ip|sum|do|lor|sit|am|et|con|sec|te|tur|ad|pi|scing|el|it|sed|eius|mod|por|in|ci|di|dunt|ut|la|bo|re|mag|na|ali|qua)+$")
 _KEYS = ("qwertyuiop", "qwertzuiop", "azertyuiop", "asdfghjkl", "asdfghjklö", "qsdfghjklm", "zxcvbnm", "yxcvbnm", "wxcvbn", "йцукенгшщзхъ", "фывапролджэ", "ячсмитьбю", "1234567890")
-_ROWS = (*_KEYS, *(row[::-1] for row in _KEYS))
-_TASK = re.compile(r"\s*(?:[-*]\s*)?(?:todo|to do|fixme|tbd|xxx)\s*[:\-]\s*(?:add|insert|write|supply|fill|put|describe|complete|provide|finish|explain|replace|update)\b.{0,60}$")
-_STUB = re.compile(r"\b(?:goes|go|comes|kommt|va|ici|hier) here\b|\b(?:sample|placeholder|example|dummy|filler|final) (?:text|copy|wording|content)\b|\b(?:text|wording|content|details|description) (?:to follow|to come|folgt|suivra)\b")
-_STATUS = re.compile(r"\s*(?:error|http|status|code|fehler|erreur)?[\s/:–-]*(?:1\.[01]\s*)?[45]\d\d\b\s*[:–-]?\s*(?:error)?\s*$")
-_STATUS_LEAD = re.compile(r"\s*(?:error|http|status|code|fehler|erreur)?[\s/:–-]*[45]\d\d\b")
-_TRACE = re.compile(r"\s*(?:ref|request|ray|incident|id|trace|code|event)\b[\w .:#/-]{0,20}?\b[0-9a-f-]{6,40}\s*$|\s*[\w-]+(?:\.[\w-]+)+\s*/\s*\d+(?:\.\d+)+\s*$|\s*(?:powered|protected|secured|hosted) by [\w.-]+(?: [\w.-]+)?\s*$")
-
-_SCRIPT_WORD = re.compile(r"(?<![\w.])(?:javascript|java script|js|cookies?|scripts|scripting|skripte?n?)(?![\w-])")
-#: What a notice asks for; a short sentence with one of these and a word above is a notice.
-_SCRIPT_DEED = re.compile(
-    r"\b(?:enable|enabled|required?|requires|turn(?:ed)? (?:it )?o[nf]f?|switch(?:ed)? (?:it )?o[nf]f?|activate|allow(?:ed|ing)?|blocked|disabled|without|aktivier\w*|erlauben|benotig\w*|deaktiviert|activer|activez|autoriser|desactive\w*|necessaire|active|activ[ae]r?|habilit\w+|permit[ae]\w*|desactivado|ativ[ea]r?|attiva\w*|abilita\w*|schakel|inschakelen|zet|wlacz|aktivera|aktiver|включите|включить|разрешите)\b"
-)
-
-#: What a failing program prints into a page: a kind of failure, and where in which file.
-_DUMP = re.compile(
-    r"\s*(?:(?:php|asp|jsp|python|ruby|perl|sql|server|runtime|compiler|template|syntax|parse|fatal|internal|application|script|database|type|value|name|key|attribute|import|null\s?pointer)\s?)*(?:error|warning|notice|deprecated|exception|fehler|erreur)\b.{0,8}:.*(?:\bon line \d+|\bline \d+\W*$|/[\w.-]+/[\w./-]+|[\w-]+\.\w{2,5}:\d+|\bstack trace\b)|\s*(?:uncaught|unhandled) (?:\w*error|\w*exception)\b"
-)
+_RUNS = frozenset(row[i:j] for k in _KEYS for row in (k, k[::-1]) for i in range(len(row)) for j in range(i + 3, len(row) + 1))
+#: More pages in other words.
+PAGES = (
+    "this page", "could not locate", "could not find", "couldn't find", "can't find", "that page", "you asked for", "may have moved", "might have been removed", "may have been moved", "try searching", "page is missing", "currently unavailable", "reload the page", "refresh the page", "return to the homepage", "go to the homepage", 
+    "la pagina que", "que buscas", "ha desaparecido", "vuelve al inicio", "volver al inicio", "no esta disponible", "no se puede mostrar", "la page que", "vous cherchez", "vous recherchez", "a disparu", "retour a l'accueil", "n'est pas disponible", "indisponible", "desole", "nicht zur verfugung", "derzeit leider", "diese seite", "die seite", "die gesuchte", "zuruck zur startseite", "zur startseite", "existiert nicht", "wurde verschoben", "non e disponibile", "non disponibile", "torna alla home", "nao esta disponivel", "voltar ao inicio", "deze pagina", "niet beschikbaar", "niedostepna", "недоступна", "вернуться на главную",
+    "powered by", "protected by", "secured by", "hosted by", "ray", "ref", "event id", "error code", 
+)
+#: What failing programs print into pages.
+DUMPS = (
+    "warning:", "notice:", "deprecated:", "fatal error:", "parse error:", "syntax error:", "php warning:", "php notice:", "php fatal error:", "type error:", "typeerror:", "value error:", "valueerror:", "keyerror:", "nameerror:", "runtime error:", "database error:", "script error:", "template error:", "application error:", "server error:", "sql error:", "uncaught exception", "uncaught error", "unhandled exception", "stack trace", "traceback", "on line", "in /var/", "in /srv/", "in /home/", "in /usr/", "in /app/", "in /opt/", "/var/www/", "/srv/app/",
+    "cannot modify header information", "cannot send headers", "headers already sent", "output started at", "call to a missing function", "call to undefined function", "undefined variable", "undefined index", "undefined offset", "undefined property", "failed to open stream", "no such file or directory", "null pointer", "division by zero", "unexpected token", "unexpected end of", "allowed memory size", "maximum execution time", "lost connection to", "null reference", "object reference not set", "cannot read property", "cannot read properties", "is not a function", "is not defined",
+)
+# Filler and tasks, put together from their words.
+_STUBS = [f"{a} {b}" for a in ("sample", "placeholder", "example", "dummy", "filler", "final") for b in ("text", "copy", "wording", "content", "heading", "code", "example", "data", "paragraph", "sentence", "answer", "question", "title", "summary", "value", "image")]
+_STUBS += [f"{a} {b}" for a in ("text", "wording", "content", "details", "description", "heading", "title", "summary") for b in ("to follow", "to come", "folgt", "suivra", "goes here", "go here", "comes here", "kommt hier", "va ici")]
+_STUBS += ["goes here", "go here", "comes here", "kommt hier", "va ici"]
+_TASKS = [
+    f"{a}{sign}{verb}"
+    for a in ("todo", "to do", "fixme", "tbd", "xxx")
+    for sign in (": ", " - ", ":")
+    for verb in ("add", "insert", "write", "supply", "fill", "put", "describe", "complete", "provide", "finish", "explain", "replace", "update")
+]
+#: Words for scripts, and stems of what has to be done with them.
+SCRIPT_WORDS = ("javascript", "java script", "js", "cookie", "cookies", "scripts", "scripting", "skripte", "skripten", "skript")
+DEEDS = (
+    "enable", "enabled", "required", "require", "requires", "needs", "need", "turn on", "turned on", "turned off", "turn it on", "switch on", "switch it on", "switched on", "switched off", "activate", "activated", "allow", "allowed", "allowing", "blocked", "disabled", "without", "aktivier", "erlauben", "benotig", "deaktiviert", "activer", "activez", "autoriser", "desactive", "necessaire", "active", "activar", "habilit", "permita", "permite", "desactivado", "ative", "ativar", "attiva", "abilita", "schakel", "inschakelen", "zet", "wlacz", "aktivera", "aktiver", "включите", "включить", "разрешите",
+)
+#: Words of a sentence that tells or explains something.
+TELLING = ("fixed", "solved", "worked", "works", "helped", "for me", "my", "because", "otherwise", "else", "i", "i'd", "i've", "so that you", "means", "if you", "why", "which", "when i", "you should", "you must")
 
 _FENCES = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<pre\b.*?(?:</pre>|\Z)|<code\b.*?(?:</code>|\Z)", re.S | re.I)
 _INLINE = re.compile(r"`[^`\n]+`")
 _INDENTED = re.compile(r"(?m)^(?: {4}|\t).*$")
 _QUOTED = re.compile(r"\"[^\"\n]+\"|“[^”\n]+”|„[^“”\n]+[“”]|«[^»\n]+»|「[^」\n]+」|<noscript>(?:(?!<noscript>).)*?</noscript>|<blockquote\b.*?</blockquote>", re.S | re.I)
 _CITED = re.compile(r"(?m)^\s*>.*$")
+_QUOTE_SIGNS = re.compile(r"[\"“„«「<]")
+_SLOT_SIGNS = re.compile(r"[\[{<«%@_$]")
 
 _NAME = r"[ ]?[^\W\d][\w .]{0,40}[ ]?"
 _VERB = r"\s?(?:add|enter|insert|your|write|fill in|put|type|name of|your own|ihr|ihre|dein|votre|su|tu|hier|saisir|insertar|einfügen)\b[ _][\w .]{1,40}\s?"
@@ -133,58 +156,89 @@ def plain(text: str) -> str:
     return text
 
 
+_PAGE, _SCRIPT, _DEED, _TELL = range(4)
+#: Words without digits; the letters of a sentence are counted in these.
+_LETTERS = re.compile(r"[^\W\d_]+(?![\w])", re.U)
+
+
+def _letters(text: str) -> int:
+    return sum(map(len, _LETTERS.findall(text)))
+
+
 class Finder:
     """The automaton over all phrases."""
 
     def __init__(self) -> None:
         self.automaton = ahocorasick.Automaton()
-        for phrase in {plain(p) for p in (*ERRORS, *SCRIPTS, *FURNITURE, *FILLER)}:
-            self.automaton.add_word(phrase, len(phrase))
+        kinds: dict[str, int] = {}
+        status = [str(code) for code in (*range(400, 432), 451, *range(500, 512), *range(520, 531))]
+        for kind, phrases in (
+            (_TELL, TELLING), (_DEED, DEEDS), (_SCRIPT, SCRIPT_WORDS),
+            (_PAGE, (*ERRORS, *SCRIPTS, *FURNITURE, *FILLER, *PAGES, *DUMPS, *_STUBS, *_TASKS, *status)),
+        ):
+            kinds |= {plain(p): kind for p in phrases}
+        for phrase, kind in kinds.items():
+            self.automaton.add_word(phrase, (len(phrase), kind))
         self.automaton.make_automaton()
 
-    def matched(self, sentence: str) -> int:
-        """Characters of a plain sentence that lie in phrases, at word boundaries."""
+    def found(self, text: str) -> list[tuple[int, int, int]]:
+        """(start, end, kind) of the phrases in a plain text, at word boundaries; stems may go on."""
         spans = []
-        for end, length in self.automaton.iter(sentence):
+        for end, (length, kind) in self.automaton.iter(text):
             start = end - length + 1
-            if start and sentence[start].isalnum() and sentence[start - 1].isalnum() and sentence[start].isascii():
+            if start and text[start].isalnum() and text[start].isascii() and (text[start - 1].isalnum() or text[start - 1] in "._"):
                 continue
-            if end + 1 < len(sentence) and sentence[end].isalnum() and sentence[end + 1].isalnum() and sentence[end].isascii():
+            if kind != _DEED and end + 1 < len(text) and text[end].isalnum() and text[end + 1].isalnum() and text[end].isascii():
                 continue
-            spans.append((start, end + 1))
-        total = reach = 0
-        for start, end in sorted(spans):
-            total += max(0, end - max(start, reach))
-            reach = max(reach, end)
-        return total
+            spans.append((start, end + 1, kind))
+        return spans
 
     def covers(self, sentence: str) -> bool:
-        """Whether a sentence is page text or filler rather than content."""
-        text = " ".join(sentence.split())
-        if not text:
+        """Whether a plain sentence is page text or filler rather than content."""
+        spans = self.found(sentence)
+        return bool(spans) and self.covered(sentence, spans)
+
+    @staticmethod
+    def covered(sentence: str, spans: list[tuple[int, int, int]]) -> bool:
+        marked = [(a, b) for a, b, kind in spans if kind == _PAGE]
+        scripts = [(a, b) for a, b, kind in spans if kind == _SCRIPT]
+        if scripts:
+            for a, b, kind in spans:
+                if kind == _DEED:
+                    for c, d in scripts:
+                        low, high = min(a, c), max(b, d)
+                        if max(a, c) - min(b, d) <= REACH:
+                            marked.append((low, high))
+        if not marked:
             return False
-        if len(text) < 100 and _STUB.search(text):
-            return True
-        if len(text) < 250 and _DUMP.match(text):
-            return True
-        if _TASK.match(text) or _TRACE.match(text) or _STATUS.match(text):
-            return True
-        if len(text) < 160 and _SCRIPT_WORD.search(text) and _SCRIPT_DEED.search(text):
-            return True
-        lead = _STATUS_LEAD.match(text)
-        matched = self.matched(text[lead.end() :]) + lead.end() if lead and len(text) < 60 else self.matched(text)
-        return matched >= SENTENCE * sum(not c.isspace() for c in text)
+        matched = reach = 0
+        for start, end in sorted(marked):
+            if end > reach:
+                matched += _letters_in(sentence, max(start, reach), end)
+                reach = end
+        need = TOLD if any(kind == _TELL and not any(a <= x and y <= b for a, b in marked) for x, y, kind in spans) else SENTENCE
+        total = _letters(sentence)
+        return matched >= need * total if total else matched > 0 or any(c.isdigit() for c in sentence)
+
+
+def _letters_in(sentence: str, start: int, end: int) -> int:
+    return sum(c.isalpha() for c in sentence[start:end])
 
 
 def mumbled(words: list[str]) -> bool:
     """Pseudo-Latin, a few words over and over, or runs over the keys."""
-    if len(words) < 3:
+    n = len(words)
+    if n < 3:
         return False
-    if len(words) >= 6 and _mostly(words, 0.75, _latin):
-        return True
-    if len(words) >= 5 and len(set(words)) <= 3 and max(map(words.count, set(words))) >= 0.7 * len(words):
-        return True
-    return _mostly(words, 0.8, lambda w: len(w) >= 3 and any(w in row for row in _ROWS))
+    if n >= 5:
+        few = set(words[:12])
+        if len(few) <= 3:
+            few = set(words)
+            if len(few) <= 3 and max(map(words.count, few)) >= 0.7 * n:
+                return True
+        if n >= 6 and _mostly(words, 0.75, _latin):
+            return True
+    return _mostly(words, 0.8, _RUNS.__contains__)
 
 
 def _latin(word: str) -> bool:
@@ -203,41 +257,46 @@ def _mostly(words: list[str], share: float, test) -> bool:
 
 
 _LATIN_SET = frozenset(LATIN)
-#: Characters a first line may have to be a title.
-TITLE = 200
 _WORD = re.compile(r"[^\W\d_]+")
 _COVERED_MARK = "\x00"
 
 
 def judged(finder: Finder, text: str | None) -> str | None:
-    """Why ``text`` is residue: ``placeholder``, ``missing``, ``page``, ``filler``; None if it is not."""
+    """Why ``text`` is residue: ``placeholder``, ``missing``, ``page``, ``filler``; None if it is not.
+
+    The first of several lines is a title if it is one sentence.
+    """
     if not text or not text.strip():
         return None
-    own = _CITED.sub("\n", text)
-    own = _FENCES.sub(_blank, own)
-    own = _INLINE.sub(_blank, _INDENTED.sub(_blank, own))
+    own = _CITED.sub("\n", text) if ">" in text else text
+    if "```" in own or "~~~" in own or "<" in own:
+        own = _FENCES.sub(_blank, own)
+    if "    " in own or "\t" in own:
+        own = _INDENTED.sub(_blank, own)
+    if "`" in own:
+        own = _INLINE.sub(_blank, own)
     # Slots in the author's own prose; guillemets may be a slot's, so look before quotations go.
-    for match in _SLOTS.finditer(own):
+    for match in _SLOTS.finditer(own) if _SLOT_SIGNS.search(own) else ():
         if not _inside(match, own) and not _ABOUT.search(_sentence_at(own, match.start())):
             return "placeholder"
-    prose = _QUOTED.sub(_blank, own)
-    if not prose.replace("\x01", "").strip():
+    prose = _QUOTED.sub(_blank, own) if _QUOTE_SIGNS.search(own) else own
+    if "\x01" in prose and not prose.replace("\x01", "").strip() or "<noscript>" in text:
         inner = re.fullmatch(r"\s*<noscript>(.*)</noscript>\s*", own, re.S | re.I)
-        prose = inner[1] if inner else ""
-    for line in prose.split("\n"):
-        values = [m[0] for m in _LOST.finditer(line) if _SPELT.fullmatch(m[0])]
-        if (len(values) >= 2 or (values and _LOST_GREETING.search(line))) and not _ABOUT.search(line):
-            return "missing"
-    lines = [x for x in html.unescape(prose).split("\n")]
+        prose = inner[1] if inner else prose
+    if _SPELT.search(prose):
+        for line in prose.split("\n"):
+            values = [m[0] for m in _LOST.finditer(line) if _SPELT.fullmatch(m[0])]
+            if (len(values) >= 2 or (values and _LOST_GREETING.search(line))) and not _ABOUT.search(line):
+                return "missing"
+    lines = (html.unescape(prose) if "&" in prose else prose).split("\n")
     full = [x for x in lines if x.strip()]
-    body = full[1:] if full and len(full[0]) <= TITLE else []
-    words = [w.lower() for x in full for w in _WORD.findall(x)]
-    under = [w.lower() for x in body for w in _WORD.findall(x)]
-    if _covered(finder, full, bool(body)):
+    if _covered(finder, full):
         return "page"
     hidden = prose.count("\x01")
-    if hidden < 0.3 * len(prose) and (mumbled(words) or mumbled(under)):
-        return "filler"
+    if hidden < 0.3 * len(prose):
+        words = [_WORD.findall(x.lower()) for x in full]
+        if mumbled([w for line in words for w in line]) or mumbled([w for line in words[1:] for w in line]):
+            return "filler"
     return None
 
 
@@ -261,27 +320,32 @@ def _sentence_at(text: str, at: int) -> str:
     return text[start : min(ends, default=len(text))]
 
 
-def _covered(finder: Finder, lines: list[str], titled: bool) -> bool:
-    """Whether most of the lines is covered or, under a title, most of those after the first.
+def _covered(finder: Finder, lines: list[str]) -> bool:
+    """Whether most of the letters are covered or, under a title, most of those after it.
 
     Stops as soon as what is left to judge cannot change the answer.
     """
-    parts = [[(m[0], len("".join(m[0].split()))) for m in _SENTENCES.finditer(line)] for line in lines]
-    total = sum(size for line in parts for _, size in line)
-    under = total - sum(size for _, size in parts[0]) if titled else 0
+    parts = [[m[0] for m in _SENTENCES.finditer(line)] for line in lines]
+    sizes = [_letters(line) + line.count("\x01") for line in lines]
+    total = sum(sizes)
+    under = total - sizes[0] if len(parts) > 1 and len(parts[0]) == 1 else 0
+    if not total:  # a status code and no word
+        return any("\x01" not in x and finder.covers(plain(x)) for line in parts for x in line)
     covered = below = 0
     left, left_below = total, under
     for number, line in enumerate(parts):
-        for sentence, size in line:
+        for sentence in line:
+            words = _LETTERS.findall(sentence)
+            size = sum(map(len, words)) + sentence.count("\x01")
+            counts = "\x01" not in sentence and (finder.covers(plain(sentence)) or mumbled([w.lower() for w in words]))
             left -= size
-            counts = "\x01" not in sentence and (finder.covers(plain(sentence)) or mumbled([w.lower() for w in _WORD.findall(sentence)]))
             covered += size * counts
             if number:
                 left_below -= size
                 below += size * counts
             if covered + left < COVERED * total and (not under or below + left_below < COVERED * under):
                 return False
-    return (total > 0 and covered >= COVERED * total) or (under > 0 and below >= COVERED * under)
+    return covered >= COVERED * total or (under > 0 and below >= COVERED * under)
 
 
 def residue(documents: DataFrame) -> DataFrame:

@@ -241,26 +241,53 @@ def test_stopping_early_changes_nothing():
 
     def whole(lines):
         parts = [m[0] for line in lines for m in residue._SENTENCES.finditer(line)]
-        sizes = [sum(not c.isspace() for c in p) for p in parts]
+        sizes = [residue._letters(p) + p.count("\x01") for p in parts]
         good = [
             "\x01" not in p and (finder.covers(residue.plain(p)) or residue.mumbled([w.lower() for w in residue._WORD.findall(p)]))
             for p in parts
         ]
-        return sum(sizes) > 0 and sum(n for n, g in zip(sizes, good) if g) >= residue.COVERED * sum(sizes)
+        if not sum(sizes):
+            return any(good)
+        return sum(n for n, g in zip(sizes, good) if g) >= residue.COVERED * sum(sizes)
 
     rng = random.Random(9)
     parts = [x for t in RESIDUE + CONTENT if t for line in t.split("\n") if line.strip() for x in (line, line.split(".")[0] + ".")]
-    parts += ["blah blah blah blah blah.", "x \x01\x01 y", "Request id 0123456789abcdef", "…", "| |"]
+    parts += ["blah blah blah blah blah.", "x \x01\x01 y", "Request id 0123456789abcdef", "…", "| |", "404"]
     answers = set()
     for _ in range(3000):
         lines = [" ".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(rng.randint(1, 4))]
-        for titled in {False, len(lines) > 1}:
-            want = whole(lines) or (titled and whole(lines[1:]))
-            assert residue._covered(finder, lines, titled) == want
-            answers.add(want)
+        titled = len(lines) > 1 and len(residue._SENTENCES.findall(lines[0])) == 1
+        under = lines[1:] if titled and any(residue._letters(x) or "\x01" in x for x in lines[1:]) else None
+        want = whole(lines) or bool(under and whole(under))
+        assert residue._covered(finder, lines) == want
+        answers.add(want)
     assert answers == {True, False}
 
 
+@pytest.mark.parametrize("text", [
+    "This page needs JavaScript to be enabled so that we can show the comments.",
+    "This page needs JavaScript to be enabled so that we can show the comments and the answers of the discussion",
+    "We could not locate the document you asked for. It may have moved.",
+    "Sorry, we couldn't find that page. Try searching instead.",
+    "La página que buscas ha desaparecido. Vuelve al inicio.",
+    "Der Dienst steht derzeit leider nicht zur Verfügung.",
+    "How do I " + "really and truly " * 30 + "fold a map?\n\n404 Not Found\nThe page you requested does not exist.",
+])
+def test_pages_of_any_length(text):
+    assert residue.judged(residue.Finder(), text) == "page"
+
+
+@pytest.mark.parametrize("text", [
+    "Enable JavaScript in your browser settings and then restart it; that fixed the login loop on our intranet for me.",
+    "You must allow cookies for the session to survive the redirect, else the login loops.",
+    "You should enable cookies first.",
+    "It does not exist.",
+    "The pump was not found where you said. I looked behind the wall.\n404 Not Found is what the page says now, so I gave up and bought a new one.",
+])
+def test_answers_about_such_pages_are_content(text):
+    assert residue.judged(residue.Finder(), text) is None
+
+
 def test_covered_without_phrases_or_with_character_references():
     finder = residue.Finder()
     assert residue.judged(finder, "Oops! This page isn&#39;t available.") == "page"
