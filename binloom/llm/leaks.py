@@ -7,7 +7,8 @@ edit distance becomes Hamming distance, and sampling a few steps of the
 embedding is a locality-sensitive hash of the window. Every window of every
 item is hashed ``WALKS * SAMPLES`` times; so is every window of every document.
 Windows that agree in one hash propose an alignment of item and document, which
-is verified exactly, word by word.
+is verified exactly: word by word, and where that does not do by edit distance
+within a band around the alignment, so words put in or left out are seen too.
 
 Windows have ``WINDOW`` words, the shortest passage that counts: a passage
 without replaced words always agrees with itself in all hashes. A passage of 20
@@ -17,7 +18,8 @@ more, so missing it in all hashes of all of them is unlikely (see the tests).
 
 Documents are scanned in one pass without a shuffle. The items, a stated query
 set, are broadcast in blocks of at most ``BLOCK`` items and ``BLOCK_CHARS``
-characters, whatever their number.
+characters, whatever their number. Where there are several blocks the words of
+the documents are written once, as codes, and every block scans these.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binloom.session import spread
+from binloom.session import scratch, spread, written
 
 #: Successive words that make a passage; the length of the windows.
 WINDOW = 12
@@ -47,7 +49,7 @@ STEPS = 20
 PICKED = 5
 #: Items, and characters of items, in one broadcast.
 BLOCK = 20_000
-BLOCK_CHARS = 20_000_000
+BLOCK_CHARS = 2_000_000
 
 _rng = np.random.Generator(np.random.PCG64(7001))
 _SEEDS = _rng.integers(1, 2**63, WALKS, np.uint64) | np.uint64(1)
@@ -78,12 +80,13 @@ def words(text: str | None) -> list[str]:
     if "](" in text:
         text = _LINKS.sub(" ", text)
     if text.isascii():
-        return [w for w in ("".join(filter(str.isalnum, w)) for w in text.lower().split()) if w]
+        return text.lower().translate(_SIGNS).split()
     text = unicodedata.normalize("NFKD", text.casefold())
-    return [w for w in ("".join(filter(str.isalnum, w)) for w in _visible(text).split()) if w]
+    return _OTHER_SIGNS.sub("", _visible(text)).split()
 
 
-_HIDDEN: dict[int, None] = {}
+_SIGNS = {c: None for c in range(128) if not chr(c).isalnum() and not chr(c).isspace()}
+_OTHER_SIGNS = re.compile(r"[^\w\s]+|_+")
 
 
 def _visible(text: str) -> str:
@@ -132,6 +135,7 @@ class Index:
         self.ids = list(by_words.values())
         self.codes = [coded(list(w)) for w in by_words]
         self.flat = np.concatenate(self.codes) if self.codes else np.empty(0, np.uint64)
+        self.near = np.pad(self.flat, 1)
         self.starts = np.cumsum([0] + [len(c) for c in self.codes])
         self.vocabulary = np.unique(np.concatenate(self.codes)) if self.codes else np.empty(0, np.uint64)
         widths: dict[int, list[int]] = {}
@@ -184,10 +188,11 @@ class Index:
                     where = np.repeat(some[maybe], count)
                     index = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(left, count)
                     owner, offset = owners[index], offsets[index]
-                    # Words the two windows share in place; the alignment is worth a look if they differ in few.
+                    # Words of one window at their place in the other, or next to it; worth a look if few are not.
                     place, equal = self.starts[owner] + offset, np.zeros(len(where), np.int8)
                     for step in range(width):
-                        equal += codes[where + step] == self.flat[place + step]
+                        word, at = codes[where + step], place + step
+                        equal += (word == self.near[at + 1]) | (word == self.near[at]) | (word == self.near[at + 2])
                     good = equal >= self._least(width)
                     if good.any():
                         where, owner = where[good], owner[good]
@@ -196,7 +201,10 @@ class Index:
 
     @staticmethod
     def _least(width: int) -> int:
-        """Words two windows of one passage share: all but two, or all of an item shorter than a window."""
+        """Words two windows of one passage share: all but two, or all of an item shorter than a window.
+
+        Words put in push others out of the window, so that is two for one of them.
+        """
         return width - 2 if width == WINDOW else width
 
     def _verify(self, codes, bounds, where, owners, shifts, found) -> None:
@@ -209,7 +217,7 @@ class Index:
             item = self.codes[owner]
             low, high = max(shift, bounds[document]), min(shift + len(item), bounds[document + 1])
             same = item[low - shift : high - shift] == codes[low:high]
-            if leaked(same, len(item)):
+            if leaked(same, len(item)) or edited(item, codes, shift, bounds[document], bounds[document + 1]):
                 found.add((owner, document))
 
 
@@ -232,12 +240,53 @@ def leaked(same: np.ndarray, length: int) -> bool:
     run = np.flatnonzero(np.diff(np.r_[False, same, False]))
     if len(run) and (run[1::2] - run[::2]).max() >= WINDOW:
         return True
+    return _dense(same)
+
+
+def _dense(same: np.ndarray) -> bool:
+    """Whether LONG words or more in a row are the same but for one in SPARE."""
     if len(same) < LONG:
         return False
     score = np.cumsum(np.r_[0, np.where(same, 1, 1 - SPARE)])
     return bool((score[LONG:] >= np.minimum.accumulate(score)[: len(score) - LONG]).any())
 
 
+def edited(item: np.ndarray, codes: np.ndarray, shift: int, low: int, high: int) -> bool:
+    """Whether ``codes[low:high]`` holds LONG words or more of ``item`` but for one edit in SPARE.
+
+    An edit is a word replaced, put in or left out; the length is that in the
+    item. Exact for alignments that stay within ``len(item) // SPARE`` words of
+    ``shift``. ``score[n, d]`` is the best score of a passage of ``n`` item words,
+    ``LONG`` standing for more, that ends on diagonal ``d``: a word counts 1, an
+    edit takes SPARE.
+    """
+    if len(item) < LONG or high - low < LONG - len(item) // SPARE:
+        return False
+    band = len(item) // SPARE
+    width = 2 * band + 1
+    score = np.full((LONG + 1, width), -1 << 20, np.int64)
+    at = (np.arange(width) - band + shift) + np.arange(len(item))[:, None]
+    inside = (at >= low) & (at < high)
+    same = inside & (codes[np.clip(at, low, high - 1)] == item[:, None])
+    if not _dense(same.any(1)):  # too few words, even if each might choose its diagonal
+        return False
+    gains = np.where(same, 1, np.where(inside, 1 - SPARE, -1 << 20))
+    steps = SPARE * np.arange(width)
+    for gain in gains:
+        score[0] = 0
+        kept = score + gain
+        left_out = np.full_like(score, -1 << 20)  # the item's word has none in the document
+        left_out[:, :-1] = score[:, 1:] + 1 - SPARE
+        best = np.maximum(kept, left_out)
+        score[1:] = best[:-1]
+        score[LONG] = np.maximum(score[LONG], best[LONG])
+        # Words of the document put in: along the diagonals, SPARE each.
+        score = np.maximum.accumulate(score + steps, axis=1) - steps
+        if (score[LONG] >= 0).any():
+            return True
+    return False
+
+
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, doc_id): the documents that hold an item or a passage of it.
 
@@ -248,13 +297,25 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     docs = spread(documents.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text"))
-    out = None
-    for block in _blocks(items):
-        index = spark.sparkContext.broadcast(Index(block))
-        rows = docs.mapInArrow(_scanner(index), "item_id bigint, doc_id bigint")
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
+    blocks = _blocks(items)
+    block, after = next(blocks, None), next(blocks, None)
+    if block is None:
         return spark.createDataFrame([], "item_id bigint, doc_id bigint")
+    if after is None:
+        index = spark.sparkContext.broadcast(Index(block))
+        return docs.mapInArrow(_scanner(index), "item_id bigint, doc_id bigint").distinct()
+    with scratch(spark) as keep:
+        words_ = written(docs.mapInArrow(_cut, "doc_id bigint, codes binary"), "words")
+        found = []
+        while block is not None:
+            index = spark.sparkContext.broadcast(Index(block))
+            rows = written(words_.mapInArrow(_scanner(index, cut=True), "item_id bigint, doc_id bigint").distinct(), "leaks")
+            found.append(keep(rows))
+            index.destroy()
+            block, after = after, next(blocks, None)
+    out = found[0]
+    for rows in found[1:]:
+        out = out.unionByName(rows)
     return out.distinct()
 
 
@@ -271,7 +332,22 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
         yield block
 
 
-def _scanner(index):
+def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all texts of a batch, and where each text's begin."""
+    tokens = [words(t) for t in batch.column("text").to_pylist()]
+    return coded([w for t in tokens for w in t]), np.cumsum([0] + [len(t) for t in tokens])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, 1000):
+            part = batch.slice(low, 1000)
+            codes, bounds = _tokens(part)
+            rows = [codes[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "codes"])
+
+
+def _scanner(index, cut: bool = False):
     schema = pa.schema([("item_id", pa.int64()), ("doc_id", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,9 +355,11 @@ def _scanner(index):
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
                 ids = part.column("doc_id").to_numpy()
-                tokens = [words(t) for t in part.column("text").to_pylist()]
-                bounds = np.cumsum([0] + [len(t) for t in tokens])
-                codes = coded([w for t in tokens for w in t])
+                if cut:
+                    rows = part.column("codes").to_pylist()
+                    codes, bounds = np.frombuffer(b"".join(rows), np.uint64), np.cumsum([0] + [len(r) // 8 for r in rows])
+                else:
+                    codes, bounds = _tokens(part)
                 found = sorted(index.value.scan(codes, bounds))
                 if found:
                     rows = [(item, int(ids[d])) for number, d in found for item in index.value.ids[number]]

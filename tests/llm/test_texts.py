@@ -141,7 +141,12 @@ def test_parts(spark):
         (swap({3, 8, 14})[:20], False),
         (swap({3, 11, 19, 27, 35, 43, 51})[:60], True),  # 7 of 60
         (swap(set(range(3, 60, 5))), False),
-        (w[:11] + ["zzz"] + w[13:24], False),
+        (w[:11] + ["zzz"] + w[13:24], True),  # a word replaced and one left out, of 24
+        (w[:11] + ["zzz"] + w[13:19], False),
+        (w[3:13] + w[14:25], True),  # one of 22 left out
+        (w[3:13] + ["zzz"] + w[13:23], True),  # one of 20 put in
+        (w[:9] + w[10:18] + w[19:25] + ["yyy"] + w[25:33] + ["zzz"] + w[33:40], True),  # four edits of 40
+        (w[:5] + w[6:11] + ["zzz"] + w[11:16] + w[17:21], False),  # three of 21
         (swap({8})[:17], False),  # fewer than 20 words, no 12 in a row
         (swap({0, 19})[:20], True),  # replaced words may be at the ends
     ]
@@ -170,6 +175,53 @@ def test_recall_of_replaced_passages():
     assert missed <= 4
 
 
+@pytest.mark.parametrize("kind", ["left out", "put in"])
+def test_recall_of_edited_passages(kind):
+    """At least 99 % of passages of 20 words with a word left out of or put into the middle."""
+    rng = random.Random(6)
+    missed = 0
+    for trial in range(300):
+        w = passage(rng, 25)
+        start = rng.randint(0, 4)
+        x = w[start : start + 21]
+        x = x[:10] + x[11:] if kind == "left out" else x[:10] + ["zzz"] + x[10:]
+        index = leaks.Index([(1, " ".join(w))])
+        text = passage(rng, 30) + x + passage(rng, 30)
+        missed += not index.scan(leaks.coded(text), np.array([0, len(text)]))
+    assert missed <= 3
+
+
+def edits(item, text):
+    """By the definition: every passage of the item against every stretch of the text."""
+    for a in range(len(item)):
+        row = [0] * (len(text) + 1)
+        for n, word in enumerate(item[a:], 1):
+            new = [n]
+            for j, other in enumerate(text, 1):
+                new.append(min(row[j - 1] + (word != other), row[j] + 1, new[j - 1] + 1))
+            row = new
+            if n >= leaks.LONG and min(row) * leaks.SPARE <= n:
+                return True
+    return False
+
+
+def test_edit_verification_equals_brute_force():
+    rng = random.Random(7)
+    answers = []
+    for _ in range(60):
+        item = [rng.choice("abcdefghijklmnopqrstuvwxyz") + str(i // 2) for i in range(rng.randint(18, 34))]
+        text = list(item)
+        for _ in range(rng.randint(1, 6)):
+            at = rng.randrange(len(text))
+            kind = rng.random()
+            text[at : at + (kind < 0.7)] = ["zzz"] if kind > 0.3 else []
+        shift = rng.randint(0, 5)
+        codes = leaks.coded(["y"] * shift + text + ["y"] * 3)
+        answers.append(edits(item, text))
+        assert leaks.edited(leaks.coded(item), codes, shift, 0, len(codes)) == answers[-1]
+    assert 10 < sum(answers) < 50
+
+
 def test_many_blocks_give_the_same(spark, monkeypatch):
     rng = random.Random(4)
     items = [(i, " ".join(passage(rng, 30))) for i in range(9)]
