@@ -8,6 +8,12 @@ threshold are followed.
 
 Split user bins are spread over their technical bins in runs of equal length, by
 ranks that no task has to sort a whole user bin for.
+
+Planning is quadratic in the user bins of a filter, so more than ``PART`` of them
+are dealt to parts of like size, each part is planned by a task of its own, and
+the parts' trees hang under filters of ``FAN`` merged bins. The plan, the shapes of
+the filters and the map of technical bins are tables; nothing about single user
+bins comes to the driver.
 """
 
 from __future__ import annotations
@@ -15,19 +21,23 @@ from __future__ import annotations
 import json
 import time
 from contextlib import contextmanager
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binloom.config import FilterConfig
 from binloom.functions import sizing
 from binloom.operators import arrange, flat, layout as planning, sketch
 from binloom.session import written
+from binloom.sources import layout_text
 
-#: User bins up to which sketches are brought to the driver to plan with unions (4 KiB each).
-MAX_SKETCHED_BINS = 20_000
+#: User bins that one task plans.
+PART = 1024
+#: Parts, or filters of parts, under one filter.
+FAN = 64
 
 
 class Phases:
@@ -61,10 +71,11 @@ class Phases:
 
 @dataclass
 class Tree:
-    """``meta``: a row per filter; ``words``; ``tb_map``: what each technical bin is; ``user_bins``: all ids."""
+    """``placed`` and ``merged``: the plan; ``meta``: a row per filter; ``words``; ``tb_map``: what each technical bin is; ``user_bins``: all ids."""
 
     config: FilterConfig
-    layout: planning.Layout
+    placed: DataFrame
+    merged: DataFrame
     meta: DataFrame
     words: DataFrame
     tb_map: DataFrame
@@ -73,57 +84,111 @@ class Tree:
     occupancy: DataFrame | None = None
     phases: Phases = field(default_factory=Phases)
 
+    @property
+    def layout(self) -> planning.Layout:
+        """The plan as one object on the driver; for trees that are small enough for that."""
+        return layout_text.layout_of(self.placed, self.merged)
+
     def save(self, path: str) -> None:
-        """Write the tables as Parquet under ``path``, with the configuration and the layout as JSON."""
-        for name in ("meta", "words", "tb_map", "user_bins", "occupancy"):
+        """Write the tables as Parquet under ``path``, with the configuration as JSON."""
+        for name in (*_TABLES, "occupancy"):
             frame = getattr(self, name)
             if frame is not None:
                 frame.write.mode("overwrite").parquet(f"{path}/{name}")
-        head = {"config": asdict(self.config), "layout": asdict(self.layout), "depth": self.depth, "occupancy": self.occupancy is not None}
+        head = {"config": asdict(self.config), "depth": self.depth, "occupancy": self.occupancy is not None}
         spark = self.meta.sparkSession
         spark.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/head")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Tree:
         head = json.loads("".join(r[0] for r in spark.read.text(f"{path}/head").collect()))  # one line
-        plan = head["layout"]
-        layout = planning.Layout(
-            plan["top_max_bin"],
-            [(tuple(p), m) for p, m in plan["merged"]],
-            [(tuple(p), tb, n, ub) for p, tb, n, ub in plan["placed"]],
-        )
         read = lambda name: spark.read.parquet(f"{path}/{name}")
-        return cls(
-            FilterConfig(**head["config"]), layout, read("meta"), read("words"), read("tb_map"), read("user_bins"), head["depth"],
-            read("occupancy") if head["occupancy"] else None,
-        )
+        tables = {name: read(name) for name in _TABLES}
+        return cls(FilterConfig(**head["config"]), **tables, depth=head["depth"], occupancy=read("occupancy") if head["occupancy"] else None)
+
+
+_TABLES = ("placed", "merged", "meta", "words", "tb_map", "user_bins")
+_PLAN = "kind string, path array<bigint>, first bigint, n bigint, user_bin_id bigint"
+
 
+def _prefix(part: int, parts: int) -> tuple[int, ...]:
+    """The technical bins that lead to a part's own filter."""
+    digits, reach = [], 1
+    while reach < parts:
+        digits.append(part // reach % FAN)
+        reach *= FAN
+    return tuple(reversed(digits))
 
-def plan(values: DataFrame, config: FilterConfig, ids: list[int], sizes: dict[int, int] | None = None) -> planning.Layout:
-    """The layout of the user bins ``ids``: counts by sketch, or ``sizes`` where they are known."""
+
+def plan(values: DataFrame, config: FilterConfig, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The plan for the user bins of ``values``: (path, storage_tb, n_tbs, user_bin_id) and (path, max_bin) of every filter.
+
+    Counts are estimated by sketch, or given as ``sizes`` (user_bin_id,
+    cardinality). ``config`` with a ``tmax`` of 0 leaves it to the size of a part.
+    """
     unions = not config.disable_estimate_union
-    if unions and len(ids) > MAX_SKETCHED_BINS:
-        raise ValueError(f"unions are estimated for {MAX_SKETCHED_BINS} user bins at most; set disable_estimate_union")
-    lines = None
-    if unions or sizes is None:
-        rows = sketch.registers(values, config.sketch_bits)
+    rows = written(sketch.registers(values, config.sketch_bits), "registers") if unions or sizes is None else None
+    if sizes is None:
+        sizes = sketch.counts(rows, config.sketch_bits).withColumnRenamed("kmer_counts", "cardinality")
+    sizes = written(sizes.select("user_bin_id", F.col("cardinality").cast("bigint").alias("cardinality")), "sizes")
+    parts = -(-sizes.count() // PART)
+    if parts == 1:
+        users = sizes.withColumn("part", F.lit(0))
+    else:
+        users = arrange.sorted_bins(sizes).withColumn("part", F.col("position") % parts).drop("position")
+    if unions:
+        users = users.join(sketch.store(rows, config.sketch_bits), "user_bin_id")
+    else:
+        users = users.withColumn("sketch", F.lit(None).cast("binary"))
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("user_bin_id", ignore_index=True)
+        prefix = _prefix(int(frame["part"][0]), parts)
+        ids = frame["user_bin_id"].tolist()
+        lines = np.stack([np.frombuffer(x, np.uint8, offset=1) for x in frame["sketch"]]) if unions else None
+        counts = frame["cardinality"].to_numpy(np.int64)
         if unions:
-            stored = sketch.store(rows, config.sketch_bits)
-            lines_of = {r[0]: np.frombuffer(bytes(r[1]), np.uint8, offset=1) for r in stored.toLocalIterator()}
-            lines = np.stack([lines_of[i] for i in ids])
-        if sizes is None:
-            sizes = (
-                {i: int(sketch.np_estimate(x)) for i, x in zip(ids, lines)}
-                if unions
-                else {r[0]: r[1] for r in sketch.counts(rows, config.sketch_bits).toLocalIterator()}
-            )
-    counts = np.array([sizes[i] for i in ids], np.int64)
-    made = planning.compute_layout(config, counts, lines, validate=False)
-    made.placed = [(p, tb, n, ids[ub]) for p, tb, n, ub in made.placed]
-    return made
+            counts = np.array([int(sketch.np_estimate(x)) for x in lines], np.int64)
+        own = replace(config, number_of_user_bins=len(ids)).validated()
+        made = planning.compute_layout(own, counts, lines, validate=False)
+        out = [("merged", prefix, made.top_max_bin, None, None)]
+        out += [("merged", prefix + p, m, None, None) for p, m in made.merged]
+        out += [("placed", prefix + p, tb, n, ids[ub]) for p, tb, n, ub in made.placed]
+        # What the part adds to the merged bins above it.
+        out += [("above", prefix[:i], prefix[i], int(counts.sum()), None) for i in range(len(prefix))]
+        frame = pd.DataFrame(out, columns=["kind", "path", "first", "n", "user_bin_id"])
+        return frame.astype({"first": "Int64", "n": "Int64", "user_bin_id": "Int64"}).assign(path=frame["path"].map(list))
+
+    made = written(users.groupBy("part").applyInPandas(one, _PLAN), "plan")
+    placed = made.filter("kind = 'placed'").select("path", F.col("first").alias("storage_tb"), F.col("n").alias("n_tbs"), "user_bin_id")
+    above = (
+        made.filter("kind = 'above'")
+        .groupBy("path", "first")
+        .agg(F.sum("n").alias("n"))
+        .groupBy("path")
+        .agg(F.max_by("first", F.struct("n", -F.col("first"))).alias("max_bin"))
+    )
+    merged = made.filter("kind = 'merged'").select("path", F.col("first").alias("max_bin")).unionByName(above)
+    return placed, merged
+
 
+def _key(path: Column) -> Column:
+    return F.array_join(F.transform(path, lambda x: x.cast("string")), ";")
 
-def build(values: DataFrame, config: FilterConfig | None = None, layout: planning.Layout | None = None, sizes: dict[int, int] | None = None) -> Tree:
+
+def _bits(elements: Column, fpr: Column, functions: int) -> Column:
+    """As :func:`sizing.bin_size_in_bits`."""
+    return F.ceil(-(elements * functions) / F.ln(1 - F.exp(F.ln(fpr) / functions)))
+
+
+def _correction(width: Column, fpr: float, functions: int) -> Column:
+    """As :func:`sizing.fpr_correction` for a split into ``width`` bins."""
+    whole = float(np.log1p(-np.exp(np.log(fpr) / functions)))
+    single = -F.expm1(F.lit(float(np.log1p(-fpr))) / width)
+    return F.when(width == 1, F.lit(1.0)).otherwise(F.lit(whole) / F.log1p(-F.exp(F.ln(single) / functions)))
+
+
+def build(values: DataFrame, config: FilterConfig | None = None, layout: planning.Layout | None = None, sizes: DataFrame | None = None) -> Tree:
     """A tree of ``values`` (user_bin_id, value).
 
     Null ids and values are left out, repeated rows count once. A configured
@@ -134,28 +199,53 @@ def build(values: DataFrame, config: FilterConfig | None = None, layout: plannin
         values = written(
             values.filter(F.col("value").isNotNull() & F.col("user_bin_id").isNotNull()).select("user_bin_id", "value").distinct(), "values"
         )
-        ids = sorted(r[0] for r in values.select("user_bin_id").distinct().toLocalIterator())
-    if not ids:
+        users = written(values.select("user_bin_id").distinct(), "users")
+        n_users = users.count()
+    if not n_users:
         raise ValueError("there are no user bins with values")
-    config = config or FilterConfig()
-    if config.number_of_user_bins and config.number_of_user_bins != len(ids):
-        raise ValueError(f"{config.number_of_user_bins} user bins were configured, {len(ids)} have values; empty user bins are not allowed")
-    config = FilterConfig(**{**asdict(config), "number_of_user_bins": len(ids)}).validated()
-    if layout is None:
-        with phases.timed("layout"):
-            layout = plan(values, config, ids, sizes)
-    elif {p[3] for p in layout.placed} != set(ids):
-        raise ValueError("the layout and the data have different user bins")
-    nodes = planning.nodes(planning.tree(layout))
-    number = {n.path: i for i, n in enumerate(nodes)}
-
-    # What each user bin is at each filter on its path: (user_bin, ibf, first bin, bins, own).
-    steps = []
-    for path, tb, n, ub in layout.placed:
-        steps += [(ub, number[path[:i]], path[i], 1) for i in range(len(path))]
-        steps.append((ub, number[path], tb, n))
-    route = spark.createDataFrame(steps, "user_bin_id bigint, ibf_id bigint, first bigint, n bigint")
-    # One row per user bin and level; the planner has these on the driver already.
+    given = config or FilterConfig()
+    if given.number_of_user_bins and given.number_of_user_bins != n_users:
+        raise ValueError(f"{given.number_of_user_bins} user bins were configured, {n_users} have values; empty user bins are not allowed")
+    given = replace(given, number_of_user_bins=n_users)
+    config = given.validated()
+    functions = config.number_of_hash_functions
+    with phases.timed("layout"):
+        if layout is None:
+            placed, merged = plan(values, given if n_users > PART else config, sizes)
+        else:
+            placed, merged = layout_text.layout_frames(spark, layout)
+            known = placed.select("user_bin_id").distinct()
+            if not users.exceptAll(known).isEmpty() or not known.exceptAll(users).isEmpty():
+                raise ValueError("the layout and the data have different user bins")
+    with phases.timed("allocate"):
+        # Filters are numbered by level and path.
+        named = merged.select("path", "max_bin", F.size("path").alias("level"), _key(F.col("path")).alias("key"))
+        nodes = written(arrange.ranked(named, [], [F.col("level"), F.col("path")], "ibf_id"), "nodes")
+        ids = nodes.select("key", "ibf_id")
+        children = (
+            nodes.filter("level > 0")
+            .select(
+                _key(F.slice("path", F.lit(1), F.col("level") - 1)).alias("key"),
+                F.element_at("path", -1).alias("bin"),
+                F.col("ibf_id").alias("next_ibf_id"),
+            )
+            .join(ids, "key")
+            .select("ibf_id", "bin", "next_ibf_id")
+        )
+        children = written(children, "children")
+        # What each user bin is at each filter on its path: (user_bin, ibf, first bin, bins).
+        steps = placed.filter(F.size("path") > 0).select(
+            "user_bin_id", "path", F.explode(F.sequence(F.lit(1), F.size("path"))).alias("i")
+        )
+        steps = steps.select(
+            "user_bin_id",
+            _key(F.slice("path", F.lit(1), F.col("i") - 1)).alias("key"),
+            F.element_at("path", F.col("i")).alias("first"),
+            F.lit(1).cast("bigint").alias("n"),
+            F.lit(False).alias("own"),
+        )
+        ends = placed.select("user_bin_id", _key(F.col("path")).alias("key"), F.col("storage_tb").alias("first"), F.col("n_tbs").alias("n"), F.lit(True).alias("own"))
+        route = written(steps.unionByName(ends).join(ids, "key").drop("key"), "route")
     single = values.join(route.filter("n = 1"), "user_bin_id").select("ibf_id", F.col("first").alias("bin"), "value")
     # A split user bin's values in runs of equal length, in the order of their hashes.
     split = arrange.ranked(
@@ -165,47 +255,64 @@ def build(values: DataFrame, config: FilterConfig | None = None, layout: plannin
     split = split.join(runs, "user_bin_id").select("ibf_id", (F.col("first") + F.floor(F.col("rank") / F.col("run"))).cast("bigint").alias("bin"), "value")
     rows = single.unionByName(split)
     with phases.timed("count"):
-        fullest = {n.max_bin: 0 for n in nodes}
-        wanted = spark.createDataFrame(
-            [(i, b) for i, n in enumerate(nodes) for b in range(n.max_bin, n.max_bin + _width(n))], "ibf_id bigint, bin bigint"
+        # Technical bins of the user bin in a filter's fullest bin; 1 for a merged one.
+        widths = (
+            nodes.join(route.filter("own").select("ibf_id", F.col("first").alias("max_bin"), "n"), ["ibf_id", "max_bin"], "left")
+            .select("ibf_id", "max_bin", F.coalesce("n", F.lit(1)).alias("width"))
         )
-        held = rows.join(wanted, ["ibf_id", "bin"]).distinct().groupBy("ibf_id").agg(F.count(F.lit(1)).alias("n"))
-        fullest = {r[0]: r[1] for r in held.toLocalIterator()}  # one number per filter
-    correction = sizing.fpr_correction(config.maximum_fpr, config.number_of_hash_functions, max(config.tmax, nodes[0].n_tbs))
-    meta_rows, map_rows = [], []
-    for i, n in enumerate(nodes):
-        width = _width(n)
-        fpr = config.relaxed_fpr if n.favourite else config.maximum_fpr
-        size = sizing.bin_size_in_bits(fpr, config.number_of_hash_functions, sizing.divide_and_ceil(fullest.get(i, 0), width))
-        if width > 1:
-            size = int(np.ceil(size * correction[width]))
-        flat.check_shape(n.n_tbs, size, config.number_of_hash_functions)
-        parent = number[n.path[:-1]] if n.path else None
-        meta_rows.append(
-            (i, list(n.path), len(n.path), parent, n.path[-1] if n.path else None, n.n_tbs, sizing.next_multiple_of_64(n.n_tbs), size, sizing.hash_shift(size), config.number_of_hash_functions)
+        wanted = widths.select("ibf_id", F.explode(F.sequence("max_bin", F.col("max_bin") + F.col("width") - 1)).alias("bin"))
+        held = rows.join(wanted, ["ibf_id", "bin"]).distinct().groupBy("ibf_id").agg(F.count(F.lit(1)).alias("held"))
+        favourite = children.withColumnRenamed("bin", "max_bin").join(nodes, ["ibf_id", "max_bin"]).select("ibf_id", F.lit(True).alias("favourite"))
+        last = route.groupBy("ibf_id").agg(F.max(F.col("first") + F.col("n")).alias("bins"))
+        parents = children.select(F.col("next_ibf_id").alias("ibf_id"), F.col("ibf_id").alias("parent_ibf_id"), F.col("bin").alias("parent_bin"))
+        shaped = (
+            nodes.join(widths.select("ibf_id", "width"), "ibf_id")
+            .join(held, "ibf_id", "left")
+            .join(favourite, "ibf_id", "left")
+            .join(last, "ibf_id")
+            .join(parents, "ibf_id", "left")
         )
-        used = {tb: ("merged", None, number[c.path]) for tb, c in n.children.items()}
-        for tb, w, ub in n.records:
-            used |= {b: ("user", ub, None) for b in range(tb, tb + w)}
-        map_rows += [(i, b, *used.get(b, ("empty", None, None))) for b in range(n.n_tbs)]
-    meta = spark.createDataFrame(
-        meta_rows,
-        "ibf_id bigint, path array<bigint>, level int, parent_ibf_id bigint, parent_bin bigint, bins bigint, technical_bins bigint, bin_size bigint, hash_shift int, hash_funs int",
+        fpr = F.when(F.col("favourite"), F.lit(config.relaxed_fpr)).otherwise(F.lit(config.maximum_fpr))
+        size = _bits(F.ceil(F.coalesce("held", F.lit(0)) / F.col("width")), fpr, functions)
+        size = F.when(F.col("width") > 1, F.ceil(size * _correction(F.col("width"), config.maximum_fpr, functions))).otherwise(size).cast("bigint")
+        shaped = shaped.withColumn("bin_size", size)
+        meta = written(
+            shaped.select(
+                "ibf_id",
+                "path",
+                "level",
+                "parent_ibf_id",
+                "parent_bin",
+                "bins",
+                (F.ceil(F.col("bins") / 64) * 64).cast("bigint").alias("technical_bins"),
+                "bin_size",
+                (F.lit(64) - F.length(F.bin("bin_size"))).alias("hash_shift"),
+                F.lit(functions).alias("hash_funs"),
+            ),
+            "meta",
+        )
+        least, most, depth = meta.agg(F.min("bin_size"), F.max("bin_size"), F.max("level") + 1).first()
+        flat.check_shape(1, least, functions)
+        flat.check_shape(1, most, functions)
+    own = route.filter("own").select("ibf_id", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("bin"), "user_bin_id")
+    tb_map = written(
+        meta.select("ibf_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bins") - 1)).alias("bin"))
+        .join(children, ["ibf_id", "bin"], "left")
+        .join(own, ["ibf_id", "bin"], "left")
+        .select(
+            "ibf_id",
+            "bin",
+            F.when(F.col("next_ibf_id").isNotNull(), F.lit("merged")).when(F.col("user_bin_id").isNotNull(), F.lit("user")).otherwise(F.lit("empty")).alias("kind"),
+            "user_bin_id",
+            "next_ibf_id",
+        ),
+        "tb_map",
     )
-    tb_map = spark.createDataFrame(map_rows, "ibf_id bigint, bin bigint, kind string, user_bin_id bigint, next_ibf_id bigint")
-    shaped = rows.join(meta.select("ibf_id", "bin_size", "hash_shift"), "ibf_id")
+    filled = rows.join(meta.select("ibf_id", "bin_size", "hash_shift"), "ibf_id")
     with phases.timed("fill"):
-        words = written(flat.words_of(shaped, config.number_of_hash_functions), "words")
-    occupancy = None
-    if config.track_occupancy:
-        occupancy = flat.occupancy_of(shaped.distinct(), config.number_of_hash_functions)
-    users = values.select("user_bin_id").distinct()
-    return Tree(config, layout, meta, words, tb_map, users, max(len(n.path) for n in nodes) + 1, occupancy, phases)
-
-
-def _width(node: planning.Node) -> int:
-    """Technical bins of the user bin in a filter's fullest bin; 1 for a merged one."""
-    return next((w for tb, w, _ in node.records if tb == node.max_bin), 1)
+        words = written(flat.words_of(filled, functions), "words")
+    occupancy = flat.occupancy_of(filled.distinct(), functions) if config.track_occupancy else None
+    return Tree(config, placed, merged, meta, words, tb_map, users, depth, occupancy, phases)
 
 
 def count(index: Tree, queries: DataFrame, threshold: str | int = 1) -> DataFrame:
