@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: dict[str, list[str]] = {}
 
@@ -79,6 +80,22 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         _delete(spark, [p for p in mine if p not in before and p not in kept])
 
 
+#: Keys that are sent to all executors; 8 MiB of numbers.
+KEYS = 1_000_000
+
+
+def having(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose columns of ``keys`` are in it.
+
+    Up to ``KEYS`` keys are broadcast, so ``df`` is not shuffled, nor its hot
+    keys brought together; beyond that it is a shuffled join, whose long
+    partitions adaptive execution splits.
+    """
+    once = written(keys.distinct(), "keys")
+    side = F.broadcast(once) if once.count() <= KEYS else once
+    return df.join(side, keys.columns, "left_semi")
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partitions a shuffle makes before adaptive execution coalesces them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -80,3 +80,15 @@ def test_scratch_keeps_what_is_kept(spark):
     with scratch(spark) as keep:
         a, b = written(spark.range(3)), keep(written(spark.range(4)))
     assert b.count() == 4 and not os.path.exists(a._binloom_path.removeprefix("file://"))
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_rows_having_keys(spark, monkeypatch, most):
+    from binloom import session
+
+    monkeypatch.setattr(session, "KEYS", most)
+    df = spark.range(50).selectExpr("id % 5 as a", "id as b", "id as c")
+    keys = spark.createDataFrame([(1, 6), (1, 6), (2, 3), (None, 1)], "a bigint, b bigint")
+    got = session.having(df, keys)
+    assert [tuple(r) for r in got.collect()] == [(1, 6, 6)]
+    assert ("BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()) == bool(most)
