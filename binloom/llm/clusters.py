@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from binloom.llm import runs
-from binloom.session import forget, scratch, written
+from binloom.session import forget, having, scratch, written
 
 #: Bands and their rows: sets of similarity 0.4 share none once in 4,700 pairs, of 0.1 one only in 8 of 9.
 BANDS = 128
@@ -272,7 +272,7 @@ def clusters(
 
 def _clusters(bins: DataFrame, nodes: DataFrame, positions: DataFrame | None, least: float) -> DataFrame:
     leaves = nodes.filter(F.col("user_bin_id").isNotNull()).select("user_bin_id").distinct()
-    codes = written(runs.distinct_codes(bins.join(leaves, "user_bin_id", "left_semi")), "codes")
+    codes = written(runs.distinct_codes(having(bins, leaves)), "codes")
     sets = written(runs.classes(codes), "sets")
     reps = sets.filter("bin = rep").select("bin", "n")
     picked = written(runs.sorted_runs(codes, reps), "runs")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from binloom.session import scratch, written
+from binloom.session import having, scratch, written
 
 OPEN = 256
 #: Open windows of a batch's last chunk.
@@ -48,9 +48,7 @@ def items(data_store: DataFrame, bins: DataFrame) -> DataFrame:
     )
     missing = once.filter(F.col("length").isNull()).select("batch_id", "user_bin_id")
     found = (
-        bins.filter(F.col("value").isNotNull())
-        .select("batch_id", "user_bin_id", "value")
-        .join(missing, ["batch_id", "user_bin_id"], "left_semi")
+        having(bins.filter(F.col("value").isNotNull()).select("batch_id", "user_bin_id", "value"), missing)
         .distinct()
         .groupBy("batch_id", "user_bin_id")
         .agg(F.count(F.lit(1)).alias("found"))
