@@ -148,8 +148,11 @@ def links(bands: DataFrame, picked: DataFrame, reps: DataFrame, least: float) ->
         .distinct()
         .join(spokes, ["bin", "hub"], "left_anti")
     )
-    found = runs.shared_counts(written(more, "more"), picked, reps).select("bin", "hub", _similarity().alias("similarity"))
-    return written(measured.unionByName(found).filter(F.col("similarity") >= least).select("bin", "hub"), "edges")
+    more = written(more, "more")
+    if not more.isEmpty():
+        found = runs.shared_counts(more, picked, reps).select("bin", "hub", _similarity().alias("similarity"))
+        measured = measured.unionByName(found)
+    return written(measured.filter(F.col("similarity") >= least).select("bin", "hub"), "edges")
 
 
 def components(edges: DataFrame, a: str = "bin", b: str = "hub") -> DataFrame:
@@ -221,7 +224,10 @@ def best_nearby(edges: DataFrame, scored: DataFrame) -> DataFrame:
 
 def _conflicts(pairs: DataFrame, picked: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """(closer, bin): those of ``pairs`` (bin, hub), the closer as ``bin``, that are not similar."""
-    unlike = runs.shared_counts(written(pairs, "doubtful"), picked, reps).filter(_similarity() < least)
+    pairs = written(pairs, "doubtful")
+    if pairs.isEmpty():
+        return pairs.toDF("closer", "bin")
+    unlike = runs.shared_counts(pairs, picked, reps).filter(_similarity() < least)
     return written(unlike.select(F.col("bin").alias("closer"), F.col("hub").alias("bin")), "conflicts")
 
 
