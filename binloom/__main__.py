@@ -42,13 +42,9 @@ def main(argv: list[str] | None = None) -> None:
 
     if args.command == "build":
         files = [r[0].strip() for r in spark.read.text(args.input).toLocalIterator() if r[0].strip()]  # a line per user bin
-        values = None
-        for number, file in enumerate(files):
-            texts = sequences.read_sequences(spark, file).withColumn("bin", F.lit(number))
-            own = kmers.bins_of(texts, "bin", "text", args.kmer)
-            values = own if values is None else values.unionByName(own)
-        if values is None:
+        if not files:
             raise SystemExit("there are no input files")
+        values = kmers.bins_of(sequences.read_numbered(spark, files), "bin", "text", args.kmer)
         index = tree.build(values, FilterConfig(maximum_fpr=args.fpr, disable_estimate_union=True))
         index.save(args.output)
         spark.createDataFrame([(json.dumps({"k": args.kmer, "files": files}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{args.output}/files")
@@ -56,8 +52,12 @@ def main(argv: list[str] | None = None) -> None:
     index = tree.Tree.load(spark, args.index)
     about = json.loads(spark.read.text(f"{args.index}/files").first()[0])
     if args.command == "inspect":
-        inspect.inspect_tree(index).orderBy("ibf_id").show(1000, truncate=False)
-        inspect.totals(index).show()
+        shapes = inspect.inspect_tree(index).orderBy("ibf_id")
+        print("\t".join(shapes.columns))
+        for row in shapes.toLocalIterator():  # a filter at a time, all of them
+            print("\t".join("" if x is None else str(x) for x in row))
+        for name, value in inspect.totals(index).first().asDict().items():
+            print(f"{name}\t{value}")
         return
     names, asked = _queries(spark, args, about["k"])
     if args.command == "search":

@@ -9,7 +9,10 @@ one stage of generated code.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,17 +144,67 @@ def np_positions(values: np.ndarray, bin_size: int, functions: int) -> np.ndarra
     return out
 
 
-def kmer_hashes(df: DataFrame, text: str, k: int, out: str = "value") -> DataFrame:
-    """One row per k-mer of ``text``: its code points as a polynomial of base 4.
+#: Two bits a base; all other letters are none.
+BASES = {"A": 0, "C": 1, "G": 2, "T": 3, "U": 3}
+#: Letters of a text that are turned into k-mers at a time.
+PIECE = 1 << 20
+
 
-    For k = 2 that is four times the first code point plus the second. Texts
-    shorter than k, and null texts, have no k-mers.
+def np_kmers(text: bytes, k: int) -> np.ndarray:
+    """The k-mers of a sequence as numbers of two bits a base, in order; windows with other letters are left out.
+
+    Windows grow by doubling, so the work is the length times the logarithm of k.
+    """
+    codes = _BASE_OF[np.frombuffer(text, np.uint8)]
+    if len(codes) < k:
+        return np.empty(0, np.int64)
+    bad = np.concatenate([[0], np.cumsum(codes == 4)])
+    whole, size, value = codes.astype(np.uint64) & np.uint64(3), 1, None
+    length, rest = 0, k
+    while rest:  # powers of two that make up k
+        if rest & 1:
+            value = whole if value is None else (value[: len(value) - size] << np.uint64(2 * size)) | whole[length : length + len(value) - size]
+            length += size
+        rest >>= 1
+        if rest:
+            whole, size = (whole[:-size] << np.uint64(2 * size)) | whole[size:], 2 * size
+    n = len(codes) - k + 1
+    return value[:n][bad[k:] == bad[:-k]].view(np.int64)
+
+
+_BASE_OF = np.full(256, 4, np.uint8)
+for _letter, _code in BASES.items():
+    _BASE_OF[[ord(_letter), ord(_letter.lower())]] = _code
+
+
+def kmers(df: DataFrame, key: str, text: str, k: int, out: str = "value") -> DataFrame:
+    """(key, out): one row per k-mer of a nucleotide sequence, ``k`` up to 32; its number has two bits a base.
+
+    Lower case counts, U is T, windows with any other letter are left out, as are
+    null texts and texts shorter than k. ``key`` is a BIGINT. Only the key and the
+    number leave a task, a piece of a text at a time.
     """
-    spread = df.withColumn("__n", F.length(text)).filter(F.col("__n") >= k)
-    at = F.explode(F.sequence(F.lit(1), F.col("__n") - (k - 1)))
-    spread = spread.withColumn("__at", at)
-    codes = [F.ascii(F.substring(F.col(text), F.col("__at") + i, F.lit(1))).cast("bigint") * 4 ** (k - 1 - i) for i in range(k)]
-    total = codes[0]
-    for c in codes[1:]:
-        total = total + c
-    return spread.withColumn(out, total).drop("__n", "__at")
+    if not 1 <= k <= 32:
+        raise ValueError(f"k must be in [1,32], not {k}")
+    schema = pa.schema([(key, pa.int64()), (out, pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for owner, sequence in zip(batch.column(0).to_pylist(), batch.column(1)):
+                letters = sequence.as_buffer().to_pybytes()
+                for low in range(0, max(1, len(letters) - k + 1), PIECE):
+                    values = np_kmers(letters[low : low + PIECE + k - 1], k)
+                    if len(values):
+                        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(owner, pa.int64()), len(values)), pa.array(values)], schema=schema)
+
+    rows = df.filter(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("binary").alias("t"))
+    return rows.mapInArrow(run, f"{key} bigint, {out} bigint")
+
+
+def code_point_pairs(df: DataFrame, key: str, text: str, out: str = "value") -> DataFrame:
+    """(key, out): one row per pair of neighbouring characters, four times the first code point plus the second."""
+    pairs = df.filter(F.length(text) >= 2).select(key, F.split(text, "").alias("__c"))
+    codes = pairs.select(key, F.transform("__c", lambda c: F.ascii(c).cast("bigint")).alias("__c"))
+    own = F.slice("__c", F.lit(1), F.size("__c") - 1)
+    after = F.slice("__c", F.lit(2), F.size("__c") - 1)
+    return codes.select(key, F.explode(F.zip_with(own, after, lambda a, b: a * 4 + b)).alias(out))

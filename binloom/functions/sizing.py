@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 def next_multiple_of_64(value: int) -> int:
@@ -54,3 +56,30 @@ def theoretical_fpr(bin_size: int, hash_count: int, elements: int) -> float:
 
 def hash_shift(bin_size: int) -> int:
     return 64 - bin_size.bit_length()
+
+
+# The same as column expressions.
+
+
+def next_multiple_of_64_of(value: Column) -> Column:
+    return (F.ceil(value / 64) * 64).cast("bigint")
+
+
+def divide_and_ceil_of(a: Column, b: Column | int) -> Column:
+    return F.ceil(a / b).cast("bigint")
+
+
+def subtract_empty_bins_of(tmax: Column, fraction: float) -> Column:
+    empty = F.least(F.greatest((tmax * F.lit(fraction)).cast("bigint"), F.lit(1)), tmax - 2)
+    return (tmax if fraction == 0.0 else F.when(tmax <= 2, tmax).otherwise(tmax - empty)).cast("bigint")
+
+
+def bin_size_in_bits_of(elements: Column, fpr: Column | float, hash_count: int) -> Column:
+    rate = fpr if isinstance(fpr, Column) else F.lit(fpr)
+    return F.ceil(-(elements * hash_count) / F.ln(1 - F.exp(F.ln(rate) / hash_count))).cast("bigint")
+
+
+def fpr_correction_of(splits: Column, fpr: float, hash_count: int) -> Column:
+    whole = math.log1p(-math.exp(math.log(fpr) / hash_count))
+    single = -F.expm1(F.lit(math.log1p(-fpr)) / splits)
+    return F.when(splits == 1, F.lit(1.0)).otherwise(F.lit(whole) / F.log1p(-F.exp(F.ln(single) / hash_count)))

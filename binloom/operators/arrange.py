@@ -40,10 +40,11 @@ def sorted_bins(counts: DataFrame, key: str = "user_bin_id", size: str = "cardin
 def intervals(positions: DataFrame, ratio: float) -> DataFrame:
     """(position, interval): a new interval begins where a bin is smaller than ``ratio`` times the interval's first.
 
-    Sequential by definition; the input is (position, cardinality), one row per
-    user bin, streamed in order.
+    The first bins of intervals follow one from another, but hang on sizes only:
+    one task walks down the distinct sizes, of which there are far fewer than
+    bins, and the bins get their intervals by their size.
     """
-    schema = pa.schema([("position", pa.int64()), ("interval", pa.int64())])
+    schema = pa.schema([("cardinality", pa.int64()), ("interval", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, number = None, -1
@@ -53,7 +54,8 @@ def intervals(positions: DataFrame, ratio: float) -> DataFrame:
                 if first is None or first * ratio > c:
                     first, number = c, number + 1
                 out.append(number)
-            yield pa.RecordBatch.from_arrays([batch.column("position"), pa.array(out, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("cardinality"), pa.array(out, pa.int64())], schema=schema)
 
-    ordered = positions.select(F.col("position").cast("bigint").alias("position"), F.col("cardinality").cast("bigint").alias("cardinality"))
-    return ordered.coalesce(1).sortWithinPartitions("position").mapInArrow(cut, "position bigint, interval bigint")
+    rows = positions.select(F.col("position").cast("bigint").alias("position"), F.col("cardinality").cast("bigint").alias("cardinality"))
+    sizes = rows.select("cardinality").distinct().coalesce(1).sortWithinPartitions(F.desc("cardinality"))
+    return rows.join(sizes.mapInArrow(cut, "cardinality bigint, interval bigint"), "cardinality").select("position", "interval")

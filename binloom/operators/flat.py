@@ -13,10 +13,11 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binloom.functions import hashing, sizing
+from binloom.config import FilterConfig
+from binloom.functions import bits, hashing, sizing
 from binloom.operators import arrange
 
 #: Filter sizes are below this so that reduced hashes are exact in signed arithmetic.
@@ -54,11 +55,11 @@ class Filter:
 
 def check_shape(bins: int, bin_size: int, functions: int) -> None:
     if bins <= 0:
-        raise ValueError("the number of bins must be > 0")
+        raise ValueError(f"a filter needs bins, not {bins}")
     if not 1 <= functions <= 5:
-        raise ValueError("the number of hash functions must be > 0 and <= 5")
+        raise ValueError(f"there are one to five hash functions, not {functions}")
     if not 0 < bin_size <= MAX_BIN_SIZE:
-        raise ValueError(f"the size of a bin must be > 0 and <= {MAX_BIN_SIZE}")
+        raise ValueError(f"a bin has 1 to {MAX_BIN_SIZE} bits, not {bin_size}")
 
 
 def words_of(rows: DataFrame, functions: int) -> DataFrame:
@@ -71,8 +72,8 @@ def words_of(rows: DataFrame, functions: int) -> DataFrame:
     )
 
 
-def occupancy_of(rows: DataFrame, functions: int) -> DataFrame:
-    """(ibf_id, bin, occupancy): values that set a bit no smaller value had set.
+def occupancy_of(rows: DataFrame, functions: int, words: DataFrame | None = None) -> DataFrame:
+    """(ibf_id, bin, occupancy): values that set a bit no smaller value had set, nor ``words`` have.
 
     Values are taken in ascending unsigned order. A value counts when it is the
     first to set at least one of its positions, which is a minimum per position
@@ -84,6 +85,9 @@ def occupancy_of(rows: DataFrame, functions: int) -> DataFrame:
         .groupBy("ibf_id", "bin", "pos")
         .agg(F.min("v").alias("v"))
     )
+    if words is not None:
+        first = first.withColumn("word_idx", F.floor(F.col("bin") / 64).cast("int")).join(words, ["ibf_id", "pos", "word_idx"], "left")
+        first = first.filter(F.col("word").isNull() | (F.call_function("getbit", "word", (F.col("bin") % 64).cast("int")) == 0))
     # Distinct (bin, v) in two steps, so that one bin with most values is no single task.
     counted = first.groupBy("ibf_id", "bin", "v").agg(F.lit(1).alias("one"))
     return counted.groupBy("ibf_id", "bin").agg(F.count("one").alias("occupancy"))
@@ -127,11 +131,51 @@ def max_bin_size(values: DataFrame, fpr: float, functions: int, max_bin_elements
     return sizing.bin_size_in_bits(fpr, functions, max_bin_elements)
 
 
+def of_config(values: DataFrame, config: FilterConfig, max_bin_elements: int = 0) -> Filter:
+    """A filter of all user bins of ``values``, sized for its fullest bin or for ``max_bin_elements`` values."""
+    bins = config.number_of_user_bins or (values.agg(F.max("user_bin_id")).first()[0] or 0) + 1
+    size = max_bin_size(values, config.maximum_fpr, config.number_of_hash_functions, max_bin_elements)
+    return build(values, bins, size, config.number_of_hash_functions, config.track_occupancy)
+
+
 def insert(index: Filter, values: DataFrame) -> Filter:
-    """The filter with more values: new words OR the old ones."""
-    more = words_of(_rows(values, index.bins, index.bin_size), index.functions)
+    """The filter with more values: new words OR the old ones.
+
+    Where occupancy is tracked, those of the new values count that set a bit
+    which neither the filter nor a smaller new value had set.
+    """
+    rows = _rows(values, index.bins, index.bin_size)
+    more = words_of(rows, index.functions)
     both = index.words.unionByName(more).groupBy("ibf_id", "pos", "word_idx").agg(F.bit_or("word").alias("word"))
-    return replace(index, words=both, occupancy=None)
+    occupancy = index.occupancy
+    if occupancy is not None:
+        got = occupancy_of(rows.distinct(), index.functions, index.words).select("bin", F.col("occupancy").alias("more"))
+        occupancy = occupancy.join(got, "bin", "left").select("bin", (F.col("occupancy") + F.coalesce("more", F.lit(0))).alias("occupancy"))
+    return replace(index, words=both, occupancy=occupancy)
+
+
+def save(index: Filter, path: str) -> None:
+    """Write a filter's tables as Parquet under ``path``, with its shape as a row of its own."""
+    spark = index.words.sparkSession
+    index.words.write.mode("overwrite").parquet(f"{path}/words")
+    if index.occupancy is not None:
+        index.occupancy.write.mode("overwrite").parquet(f"{path}/occupancy")
+    shape = [(index.bins, index.bin_size, index.functions, index.occupancy is not None)]
+    spark.createDataFrame(shape, "bins bigint, bin_size bigint, functions int, occupancy boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/shape")
+
+
+def load(spark: SparkSession, path: str) -> Filter:
+    shape = spark.read.parquet(f"{path}/shape").first()
+    occupancy = spark.read.parquet(f"{path}/occupancy") if shape["occupancy"] else None
+    return Filter(shape["bins"], shape["bin_size"], shape["functions"], spark.read.parquet(f"{path}/words"), occupancy)
+
+
+def same(a: Filter, b: Filter) -> bool:
+    """Whether two filters have the same shape and bits."""
+    if (a.bins, a.bin_size, a.functions) != (b.bins, b.bin_size, b.functions):
+        return False
+    x, y = (f.words.select("pos", "word_idx", "word") for f in (a, b))
+    return x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty()
 
 
 # --- lookups ---------------------------------------------------------------------
@@ -156,8 +200,7 @@ def contained(probe: DataFrame, words: DataFrame, functions: int) -> DataFrame:
 
 def bins_of(words: DataFrame) -> DataFrame:
     """Words spread into their bins."""
-    spread = words.withColumn("__bit", F.explode(F.array(*[F.lit(i) for i in range(64)])))
-    spread = spread.filter(F.call_function("getbit", F.col("word"), F.col("__bit")) == 1)
+    spread = words.withColumn("__bit", F.explode(bits.set_bits(F.col("word"))))
     return spread.withColumn("bin", F.col("__bit") + F.col("word_idx").cast("bigint") * 64).drop("word", "word_idx", "__bit")
 
 

@@ -6,22 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from binloom.config import FilterConfig
-from binloom.functions.hashing import kmer_hashes
+from binloom.functions import hashing
 from binloom.operators import tree
 
 
-def bins_of(texts: DataFrame, id_column: str, text: str = "text", k: int = 2) -> DataFrame:
-    """(user_bin_id, value): the k-mer values of each text, one bin per id."""
-    return kmer_hashes(texts.select(F.col(id_column).cast("bigint").alias("user_bin_id"), F.col(text).alias("__t")), "__t", k).select(
-        "user_bin_id", "value"
-    )
+def bins_of(texts: DataFrame, id_column: str, text: str = "text", k: int = 20) -> DataFrame:
+    """(user_bin_id, value): the k-mers of each sequence, one bin per id."""
+    return hashing.kmers(texts, id_column, text, k).toDF("user_bin_id", "value")
 
 
-def queries_of(texts: DataFrame, id_column: str, text: str = "text", k: int = 2) -> DataFrame:
+def pairs_of(texts: DataFrame, id_column: str, text: str = "text") -> DataFrame:
+    """(user_bin_id, value): the pairs of neighbouring characters of each text, of whatever alphabet."""
+    return hashing.code_point_pairs(texts, id_column, text).toDF("user_bin_id", "value")
+
+
+def queries_of(texts: DataFrame, id_column: str, text: str = "text", k: int = 20) -> DataFrame:
     return bins_of(texts, id_column, text, k).withColumnRenamed("user_bin_id", "query_id")
 
 
-def build(texts: DataFrame, id_column: str, text: str = "text", k: int = 2, config: FilterConfig | None = None) -> tree.Tree:
+def build(texts: DataFrame, id_column: str, text: str = "text", k: int = 20, config: FilterConfig | None = None) -> tree.Tree:
     """A tree over the k-mers of each text; two hash functions and a rate of 0.05 by default."""
     return tree.build(bins_of(texts, id_column, text, k), config or FilterConfig(disable_estimate_union=True))
 

@@ -35,7 +35,7 @@ from binloom.session import written
 from binloom.sources import layout_text
 
 #: User bins that one task plans.
-PART = 1024
+PART = 512
 #: Parts, or filters of parts, under one filter.
 FAN = 64
 
@@ -176,18 +176,6 @@ def _key(path: Column) -> Column:
     return F.array_join(F.transform(path, lambda x: x.cast("string")), ";")
 
 
-def _bits(elements: Column, fpr: Column, functions: int) -> Column:
-    """As :func:`sizing.bin_size_in_bits`."""
-    return F.ceil(-(elements * functions) / F.ln(1 - F.exp(F.ln(fpr) / functions)))
-
-
-def _correction(width: Column, fpr: float, functions: int) -> Column:
-    """As :func:`sizing.fpr_correction` for a split into ``width`` bins."""
-    whole = float(np.log1p(-np.exp(np.log(fpr) / functions)))
-    single = -F.expm1(F.lit(float(np.log1p(-fpr))) / width)
-    return F.when(width == 1, F.lit(1.0)).otherwise(F.lit(whole) / F.log1p(-F.exp(F.ln(single) / functions)))
-
-
 def build(values: DataFrame, config: FilterConfig | None = None, layout: planning.Layout | None = None, sizes: DataFrame | None = None) -> Tree:
     """A tree of ``values`` (user_bin_id, value).
 
@@ -273,8 +261,8 @@ def build(values: DataFrame, config: FilterConfig | None = None, layout: plannin
             .join(parents, "ibf_id", "left")
         )
         fpr = F.when(F.col("favourite"), F.lit(config.relaxed_fpr)).otherwise(F.lit(config.maximum_fpr))
-        size = _bits(F.ceil(F.coalesce("held", F.lit(0)) / F.col("width")), fpr, functions)
-        size = F.when(F.col("width") > 1, F.ceil(size * _correction(F.col("width"), config.maximum_fpr, functions))).otherwise(size).cast("bigint")
+        size = sizing.bin_size_in_bits_of(sizing.divide_and_ceil_of(F.coalesce("held", F.lit(0)), F.col("width")), fpr, functions)
+        size = F.when(F.col("width") > 1, F.ceil(size * sizing.fpr_correction_of(F.col("width"), config.maximum_fpr, functions))).otherwise(size).cast("bigint")
         shaped = shaped.withColumn("bin_size", size)
         meta = written(
             shaped.select(
@@ -284,7 +272,7 @@ def build(values: DataFrame, config: FilterConfig | None = None, layout: plannin
                 "parent_ibf_id",
                 "parent_bin",
                 "bins",
-                (F.ceil(F.col("bins") / 64) * 64).cast("bigint").alias("technical_bins"),
+                sizing.next_multiple_of_64_of(F.col("bins")).alias("technical_bins"),
                 "bin_size",
                 (F.lit(64) - F.length(F.bin("bin_size"))).alias("hash_shift"),
                 F.lit(functions).alias("hash_funs"),

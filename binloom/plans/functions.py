@@ -24,9 +24,8 @@ def hash_wide_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bin_size_bits(spark: SparkSession, d: str) -> DataFrame:
-    load = F.ln(1 - F.exp(F.ln(F.lit(0.05)) / 2))
     counts = flat.exact_counts(supplier_parts(spark, d))
-    return counts.select("user_bin_id", "cardinality", F.ceil(-(F.col("cardinality") * 2) / load).cast("bigint").alias("bits"))
+    return counts.select("user_bin_id", "cardinality", sizing.bin_size_in_bits_of(F.col("cardinality"), 0.05, 2).alias("bits"))
 
 
 def fpr_correction(spark: SparkSession, d: str) -> DataFrame:
@@ -42,9 +41,9 @@ def size_arithmetic(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("p_partkey")
     return table(spark, d, "part").select(
         "p_partkey",
-        F.shiftleft(F.shiftright(n + 63, 6), 6).alias("next_64"),
-        F.ceil(n / 7).cast("bigint").alias("divided"),
-        F.when(n <= 2, n).otherwise(n - F.least(F.greatest((n * 0.1).cast("bigint"), F.lit(1)), n - 2)).cast("bigint").alias("less_empty"),
+        sizing.next_multiple_of_64_of(n).alias("next_64"),
+        sizing.divide_and_ceil_of(n, 7).alias("divided"),
+        sizing.subtract_empty_bins_of(n, 0.1).alias("less_empty"),
     )
 
 
@@ -98,15 +97,37 @@ def counting_algebra(spark: SparkSession, d: str) -> DataFrame:
 
 def kmer_values(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents").select("doc_id", "text")
-    return hashing.kmer_hashes(documents, "text", 2).groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
+    return hashing.code_point_pairs(documents, "doc_id", "text").groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sequences_of(df: DataFrame, key: str, copies: int = 1) -> DataFrame:
+    """(key, text): a nucleotide sequence for each key, from the digits of its checksum, with an N now and then."""
+    digits = F.concat(*[F.md5(F.concat(F.lit("x" * i), F.col(key).cast("string"))) for i in range(copies)])
+    return df.select(key, F.translate(digits, "0123456789abcdef", "ACGTACGTACGTACGN").alias("text"))
+
+
+def kmer_bases(spark: SparkSession, d: str) -> DataFrame:
+    return hashing.kmers(sequences_of(table(spark, d, "part"), "p_partkey"), "p_partkey", "text", 6)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (hash_positions, hash_wide_values, bin_size_bits, fpr_correction, relaxed_correction, size_arithmetic, bit_algebra, counting_algebra, kmer_values)
+    for f in (hash_positions, hash_wide_values, bin_size_bits, fpr_correction, relaxed_correction, size_arithmetic, bit_algebra, counting_algebra, kmer_values, kmer_bases)
 }
 
+#: kmer(key, i, v): the k-mers at place i of the sequences of ``source`` (key, text).
+KMERS = """
+    spot AS (SELECT key, text, unnest(generate_series(1, length(text) - {k} + 1))::BIGINT AS i FROM {source}),
+    cut AS (SELECT key, i, translate(substr(text, i, {k}), 'ACGT', '0123') AS w FROM spot),
+    kmer AS (SELECT key, i, list_reduce([0::BIGINT] || list_transform(string_split(w, ''), lambda c: c::BIGINT), lambda a, c: a * 4 + c) AS v FROM cut WHERE NOT contains(w, 'N'))
+"""
+SEQUENCE = "translate({digits}, '0123456789abcdef', 'ACGTACGTACGTACGN')"
+
 SQL = {
+    "kmer_bases": f"""
+        WITH s AS (SELECT p_partkey AS key, {SEQUENCE.format(digits="md5(p_partkey::VARCHAR)")} AS text FROM part), {KMERS.format(k=6, source="s")}
+        SELECT key AS p_partkey, v AS value FROM kmer
+    """,
     "hash_positions": f"""
         WITH given AS (SELECT p_partkey AS v FROM part), {hashed("given", f"SELECT {_SIZE}::BIGINT", 5)}
         SELECT v AS value, fn::INT AS fn, pos FROM pos
@@ -135,7 +156,7 @@ SQL = {
     "bit_algebra": """
         WITH o AS (SELECT l_orderkey, bit_or(1::BIGINT << (l_partkey % 63)) AS a, bit_or(1::BIGINT << (l_suppkey % 63)) AS b FROM lineitem GROUP BY 1)
         SELECT l_orderkey, a & b AS both, a | b AS either, xor(a, b) AS one, a & ~b AS first_only, ~a AS others, xor(a, 32::BIGINT) AS flipped,
-               (b >> 6) & 1 = 1 AS bit_70, (bit_count(a) + bit_count(b))::BIGINT AS n_bits, true AS any_bit, false AS no_bit, false AS all_bits FROM o
+               (b >> 6) & 1 = 1 AS bit_70, (bit_count(a) + bit_count(b))::BIGINT AS n_bits, a <> 0 OR b <> 0 AS any_bit, a = 0 AND b = 0 AS no_bit, a = -1 AND b = -1 AS all_bits FROM o
     """,
     "counting_algebra": """
         WITH o AS (SELECT l_orderkey, sum(l_linenumber)::BIGINT AS a, count(*) AS b, max(l_suppkey) AS w FROM lineitem GROUP BY 1)

@@ -46,14 +46,11 @@ def hll_stored(spark: SparkSession, d: str) -> DataFrame:
         .filter("sketches IS NOT NULL")
         .groupBy("user_bin_id", "batch_id")
         .agg(F.first("sketches").alias("sketch"))
-        .withColumn("row", F.col("batch_id") * 10_000_000 + F.col("user_bin_id"))
-    )
-    rows = sketch.load(stored, "row", "sketch")
-    return sketch.estimate(rows, _BITS, "row").select(
-        (F.col("row") % 10_000_000).alias("user_bin_id"),
-        F.floor(F.col("row") / 10_000_000).cast("bigint").alias("batch_id"),
-        F.round("estimate", 4).alias("estimate"),
     )
+    # A number for each pair of keys, whatever the keys are.
+    keys = written(arrange.ranked(stored, [], [F.col("batch_id"), F.col("user_bin_id")], "row"), "rows")
+    rows = sketch.load(keys, "row", "sketch")
+    return sketch.estimate(rows, _BITS, "row").join(keys, "row").select("user_bin_id", "batch_id", F.round("estimate", 4).alias("estimate"))
 
 
 def prefix_union_estimates(spark: SparkSession, d: str) -> DataFrame:
@@ -71,10 +68,13 @@ def minhash_valid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sketch_built_in(spark: SparkSession, d: str) -> DataFrame:
-    """Spark's own sketches, for results that need not match stored ones."""
+    """Spark's own sketches, for results that need not match stored ones: exact counts, and whether estimates are within 10 %."""
     bins = table(spark, d, "bins").filter("user_bin_id IS NOT NULL")
     parts = bins.groupBy("user_bin_id", "batch_id").agg(F.hll_sketch_agg("value", F.lit(12)).alias("s"))
-    return parts.groupBy("user_bin_id").agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("estimate"))
+    told = parts.groupBy("user_bin_id").agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("estimate"))
+    exact = flat.exact_counts(bins)
+    near = F.abs(F.col("estimate") - F.col("cardinality")) <= F.greatest(F.lit(1.0), F.col("cardinality") * 0.1)
+    return told.join(exact, "user_bin_id").select("user_bin_id", "cardinality", near.alias("near"))
 
 
 QUERIES = {
@@ -139,3 +139,5 @@ SQL = {
     "minhash_table": _MINHASH,
     "minhash_valid": f"SELECT user_bin_id, count(*) = 640 AS is_valid FROM ({_MINHASH}) GROUP BY 1",
 }
+
+SQL["sketch_built_in"] = SQL["bin_cardinality"].replace("AS cardinality", "AS cardinality, true AS near")

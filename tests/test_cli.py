@@ -16,6 +16,8 @@ def lines(folder):
 def test_sequence_files(spark, tmp_path):
     fasta = write(tmp_path / "a.fa", ">one two\nACGT\nAC\n>three\nTT\n\n")
     assert sorted((r[1], r[2]) for r in sequences.read_sequences(spark, fasta).collect()) == [("one two", "ACGTAC"), ("three", "TT")]
+    odd = write(tmp_path / "b.fa", "\n>a>b c\r\nAC\r\nGT\r\n>d >e\nTT")
+    assert sorted((r[1], r[2]) for r in sequences.read_sequences(spark, odd).collect()) == [("a>b c", "ACGT"), ("d >e", "TT")]
     fastq = write(tmp_path / "a.fq", "@q1\nACG\n+\n@II\n@q2\nTTT\n+\nIII\n")
     assert sorted((r[1], r[2]) for r in sequences.read_sequences(spark, fastq).collect()) == [("q1", "ACG"), ("q2", "TTT")]
 
@@ -32,4 +34,16 @@ def test_build_search_count(spark, tmp_path, capsys):
     counts = dict(x.split("\t") for x in lines(tmp_path / "counts") if not x.startswith("#"))
     assert counts["in_a"].split(",")[0] == "6" and counts["in_b"].split(",")[1] == "4" and len(counts) == 3
     main(["inspect", "-i", index])
-    assert "total_bits" in capsys.readouterr().out
+    told = capsys.readouterr().out
+    assert "total_bits" in told and "ibf_id\t" in told
+
+
+def test_long_fastq_files_are_split(spark, tmp_path):
+    fastq = write(tmp_path / "a.fastq", "".join(f"@q{i}\n{'ACGT'[i % 4] * (i % 50 + 1)}\n+\n@{'I' * (i % 50)}\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        assert spark.read.text(fastq).rdd.getNumPartitions() > 3
+        got = {r[1]: r[2] for r in sequences.read_sequences(spark, fastq).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {f"q{i}": "ACGT"[i % 4] * (i % 50 + 1) for i in range(3000)}

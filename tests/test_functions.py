@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -78,12 +79,41 @@ def test_counting_vectors(spark):
 
 
 def test_kmers(spark):
-    df = spark.createDataFrame([(1, "AC é"), (2, "A"), (3, None), (4, "")], "id bigint, text string")
-    got = sorted(map(tuple, hashing.kmer_hashes(df, "text", 2).select("id", "value").collect()))
-    t = "AC é"
+    t = "AC é🙂x"
+    df = spark.createDataFrame([(1, t), (2, "A"), (3, None), (4, "")], "id bigint, text string")
+    got = sorted(map(tuple, hashing.code_point_pairs(df, "id", "text").collect()))
     assert got == sorted((1, 4 * ord(a) + ord(b)) for a, b in zip(t, t[1:]))
 
 
+@pytest.mark.parametrize("k", [1, 2, 3, 6, 7, 20, 31, 32])
+def test_kmers_of_bases(spark, monkeypatch, k):
+    monkeypatch.setattr(hashing, "PIECE", 16)
+    rng = random.Random(k)
+    texts = ["".join(rng.choice("ACGTacgtUN") for _ in range(n)) for n in (0, 1, 5, 40, 200)] + ["A" * 70, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k bigint, t string")
+
+    def want(t):
+        t = t.upper().replace("U", "T")
+        for i in range(len(t) - k + 1):
+            if "N" not in t[i : i + k]:
+                v = int("".join(str("ACGT".index(c)) for c in t[i : i + k]), 4)
+                yield v - 2**64 if v >= 2**63 else v
+
+    got = {}
+    for r in hashing.kmers(df, "k", "t", k).collect():
+        got.setdefault(r["k"], []).append(r["value"])
+    assert got == {i: w for i, t in enumerate(texts) if t and (w := list(want(t)))}
+
+
+def test_all_kmers_differ():
+    import itertools
+
+    values = [int(hashing.np_kmers("".join(x).encode(), 6)[0]) for x in itertools.product("ACGT", repeat=6)]
+    assert sorted(values) == list(range(4**6))
+    with pytest.raises(ValueError):
+        hashing.kmers(None, "k", "t", 33)
+
+
 def test_relaxed_formula_matches_logs():
     assert sizing.relaxed_fpr_correction(0.05, 0.05, 2) == pytest.approx(1.0)
     assert math.isfinite(sizing.fpr_correction(0.999, 1, 64)[64])
