@@ -32,6 +32,23 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], out: str = "rank
     )
 
 
+def running_sums(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """``df`` with each of ``columns`` replaced by its sum up to the row in ascending ``order``.
+
+    Each range partition sums its own rows; the totals of earlier partitions,
+    one row each, are added.
+    """
+    rows = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id())
+    rows = written(rows, "running")
+    totals = rows.groupBy("__p").agg(*[F.sum(c).alias(f"__{c}") for c in columns])
+    before = Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    offsets = totals.select("__p", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in columns])
+    own = Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(offsets, "__p").select(
+        *[((F.sum(c).over(own) + F.col(f"__{c}")).alias(c) if c in columns else F.col(c)) for c in df.columns]
+    )
+
+
 def sorted_bins(counts: DataFrame, key: str = "user_bin_id", size: str = "cardinality") -> DataFrame:
     """(key, size, position): largest first, ties to the smaller id."""
     return ranked(counts.select(key, size), [], [F.desc(size), F.asc(key)], "position").select(key, size, "position")

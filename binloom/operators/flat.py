@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 
 from binloom.config import FilterConfig
 from binloom.functions import bits, hashing, sizing
-from binloom.operators import arrange
+from binloom.operators import arrange, skew
 
 #: Filter sizes are below this so that reduced hashes are exact in signed arithmetic.
 MAX_BIN_SIZE = 2**31 - 1
 #: Largest filter that is sent to the executors whole: 32 MiB.
 BROADCAST_BITS = 2**28
+#: Values of a query that one task looks up.
+HOT_QUERY = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -251,8 +253,15 @@ def _broadcasts(index: Filter, strategy: str) -> bool:
 def _count_in_arrow(index: Filter, asked: DataFrame) -> DataFrame:
     """Counts of at least ``t`` from (query_id, value, t), with the filter's rows as a matrix in every worker.
 
-    A query's rows stream through one task, which holds its counts only.
+    A query's rows stream through one task, which holds its counts only; those of
+    a query with more than ``HOT_QUERY`` values through several, whose counts are added up.
     """
+    clean = asked.filter("value IS NOT NULL AND query_id IS NOT NULL").select(F.col("query_id").cast("bigint").alias("query_id"), "value", F.col("t").cast("bigint").alias("t"))
+    clean = skew.salted(clean, "query_id", ["value"], HOT_QUERY)
+    parts = clean.groupBy("query_id").agg(F.max("t").alias("t"), (F.max(skew.SALT) > 0).alias("split")) if _any_hot(clean) else None
+    if parts is not None:
+        hot = parts.filter("split").select("query_id", F.col("t").alias("limit"))
+        clean = clean.join(F.broadcast(hot), "query_id", "left").withColumn("t", F.when(F.col("limit").isNotNull(), F.lit(1)).otherwise(F.col("t"))).drop("limit")
     rows = np.zeros((index.bin_size, index.bin_words), np.uint64)
     held = index.words.select("pos", "word_idx", "word").toArrow()  # at most BROADCAST_BITS / 64 words
     rows[held["pos"].to_numpy(), held["word_idx"].to_numpy()] = held["word"].to_numpy().view(np.uint64)
@@ -269,7 +278,7 @@ def _count_in_arrow(index: Filter, asked: DataFrame) -> DataFrame:
         def flush() -> None:
             if last is not None:
                 hit = np.flatnonzero(total >= limit)
-                out.append((np.full(len(hit), last, np.int64), hit, total[hit]))
+                out.append((np.full(len(hit), last[0], np.int64), hit, total[hit]))
 
         for whole in batches:
             for low in range(0, whole.num_rows, step):
@@ -277,14 +286,15 @@ def _count_in_arrow(index: Filter, asked: DataFrame) -> DataFrame:
                 ids, t = batch.column("query_id").to_numpy(), batch.column("t").to_numpy()
                 found = np.bitwise_and.reduce(matrix[hashing.np_positions(batch.column("value").to_numpy(), size, functions)], axis=0)
                 hits = np.unpackbits(found.view(np.uint8), axis=1, bitorder="little")[:, :bins]
-                starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+                salts = batch.column(skew.SALT).to_numpy()
+                starts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (salts[1:] != salts[:-1])])
                 sums = np.add.reduceat(hits, starts, axis=0, dtype=np.int64)
                 for k, start in enumerate(starts.tolist()):
-                    if ids[start] == last:
+                    if (ids[start], salts[start]) == last:
                         total += sums[k]
                     else:
                         flush()
-                        last, total, limit = ids[start], sums[k].copy(), max(1, t[start])
+                        last, total, limit = (ids[start], salts[start]), sums[k].copy(), max(1, t[start])
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=schema)
                     out.clear()
@@ -292,8 +302,16 @@ def _count_in_arrow(index: Filter, asked: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=schema)
 
-    clean = asked.filter("value IS NOT NULL AND query_id IS NOT NULL").select(F.col("query_id").cast("bigint").alias("query_id"), "value", "t")
-    return clean.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(run, "query_id bigint, user_bin_id bigint, cnt bigint")
+    keys = ["query_id", skew.SALT]
+    counted = clean.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "query_id bigint, user_bin_id bigint, cnt bigint")
+    if parts is None:
+        return counted
+    whole = counted.groupBy("query_id", "user_bin_id").agg(F.sum("cnt").alias("cnt"))
+    return whole.join(hot, "query_id", "left").filter(F.col("cnt") >= F.coalesce("limit", F.lit(1))).select("query_id", "user_bin_id", "cnt")
+
+
+def _any_hot(salted: DataFrame) -> bool:
+    return not salted.filter(F.col(skew.SALT) > 0).isEmpty()
 
 
 def count_all(index: Filter, queries: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from binloom.functions import hashing
+from binloom.operators import arrange
 
 #: Registers and values per register of a MinHash table.
 MINHASH_TABLES = 16
@@ -157,11 +158,11 @@ def prefix_union_estimates(sketches: DataFrame, order: DataFrame, bits: int) ->
         F.sum(F.pow(F.lit(2.0), -F.col("rank")) - F.pow(F.lit(2.0), -F.col("before"))).alias("ds"),
         F.count_if(F.col("before") == 0).alias("dz"),
     )
-    run = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, 0)  # one row per user bin
-    sums = order.join(change, "position", "left").select(
-        "position",
-        (F.lit(float(m)) + F.sum(F.coalesce("ds", F.lit(0.0))).over(run)).alias("s"),
-        (F.lit(m) - F.sum(F.coalesce("dz", F.lit(0))).over(run)).alias("z"),
+    change = order.select("position").join(change, "position", "left").select(
+        "position", F.coalesce("ds", F.lit(0.0)).alias("ds"), F.coalesce("dz", F.lit(0)).cast("bigint").alias("dz")
+    )
+    sums = arrange.running_sums(change, "position", ["ds", "dz"]).select(
+        "position", (F.lit(float(m)) + F.col("ds")).alias("s"), (F.lit(m) - F.col("dz")).alias("z")
     )
     raw = F.lit(norm(bits)) / F.col("s")
     value = F.when((raw <= 2.5 * m) & (F.col("z") > 0), F.lit(float(m)) * F.ln(F.lit(float(m)) / F.col("z"))).otherwise(raw)

@@ -48,6 +48,29 @@ def test_every_bin_holds_every_value(spark):
         flat.clear(index, 64)
 
 
+def test_hot_queries_are_split(spark, monkeypatch):
+    monkeypatch.setattr(flat, "HOT_QUERY", 50)
+    index = flat.build(frame(spark, {0: range(1000), 1: range(0, 1000, 3), 5: range(900, 950)}), 6, 20_000)
+    q = asked(spark, {1: range(1000), 2: range(5), 3: range(910, 930)})
+    split, whole = (sorted(map(tuple, flat.count(index, q, s).collect())) for s in ("broadcast", "join"))
+    assert split == whole and (1, 0, 1000) in split
+    assert pairs(flat.membership(index, q, 300)) == [(1, 0), (1, 1)]
+
+
+def test_saved_filters_and_occupancy_of_inserts(spark, tmp_path):
+    values = frame(spark, {0: range(20), 4: range(10, 30)})
+    index = flat.of_config(values, FilterConfig(track_occupancy=True))
+    assert (index.bins, index.bin_size) == (5, flat.max_bin_size(values, 0.05, 2))
+    flat.save(index, f"file://{tmp_path}/f")
+    again = flat.load(spark, f"file://{tmp_path}/f")
+    assert flat.same(index, again) and sorted(map(tuple, again.occupancy.collect())) == sorted(map(tuple, index.occupancy.collect()))
+    more = flat.insert(index, values)  # nothing new
+    assert flat.same(index, more) and sorted(map(tuple, more.occupancy.collect())) == sorted(map(tuple, index.occupancy.collect()))
+    grown = flat.insert(index, frame(spark, {1: range(7), 9: [1]}))
+    assert not flat.same(index, grown) and dict(map(tuple, grown.occupancy.collect()))[1] == 7
+    assert flat.of_config(values, FilterConfig(), max_bin_elements=1000).bin_size > index.bin_size
+
+
 def test_counts_and_membership(spark):
     index = flat.build(frame(spark, {0: range(20), 4: range(10, 30), 7: range(25, 35)}), 8, 8192)
     q = asked(spark, {0: range(20), 1: range(1024), 2: [5, 5, 5, None], 3: [2000]})
