@@ -57,6 +57,11 @@ def p2_partials(spark: SparkSession, d: str) -> DataFrame:
     return distinct.partials(table(spark, d, "bins"))
 
 
+def p2_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Estimates against exact counts."""
+    return distinct.kept_bounds(p2_distinct(spark, d), distinct.exact_counts(table(spark, d, "bins"), table(spark, d, "group_sets")))
+
+
 def _layout(spark: SparkSession, d: str) -> DataFrame:
     things = written(packing.items(table(spark, d, "data_store"), table(spark, d, "bins")), "items")
     return packing.packed(things, table(spark, d, "hierarchical_binning"))
@@ -106,6 +111,7 @@ QUERIES = {
     "p1_members": p1_members,
     "p2_distinct": p2_distinct,
     "p2_partials": p2_partials,
+    "p2_bounds": p2_bounds,
     "p4_found": p4_found,
     "p4_layout": p4_layout,
     "p4_fill": p4_fill,
@@ -166,6 +172,19 @@ _BITMAP = """
 """
 
 SQL = {
+    "p2_bounds": """
+        WITH c AS (SELECT DISTINCT strftime(seen_at, '%Y-%m-%d') AS day, lower(trim(sample_group)) AS g, value AS v FROM bins WHERE value IS NOT NULL),
+        m AS (SELECT DISTINCT set_id, lower(trim(sample_group)) AS g FROM group_sets WHERE sample_group IS NOT NULL),
+        s AS (SELECT set_id, day, v FROM c JOIN m USING (g)),
+        e AS (
+            SELECT 'day' AS scope, count(DISTINCT v) AS n FROM c GROUP BY day
+            UNION ALL SELECT 'group', count(DISTINCT v) FROM c GROUP BY g
+            UNION ALL SELECT 'day_group', count(DISTINCT v) FROM c GROUP BY day, g
+            UNION ALL SELECT 'set', count(DISTINCT v) FROM s GROUP BY set_id
+            UNION ALL SELECT 'day_set', count(DISTINCT v) FROM s GROUP BY set_id, day
+        )
+        SELECT scope, count(*) AS n, sum(n)::BIGINT AS total, true AS kept FROM e GROUP BY 1
+    """,
     "p2_partials": f"""
         WITH {_BITMAP}
         SELECT batch_id, day, sample_group, (level * 64 + bit // 64)::INT AS slot,
@@ -260,6 +279,19 @@ _BITMAP = """
 """
 
 SQL = {
+    "p2_bounds": """
+        WITH c AS (SELECT DISTINCT strftime(seen_at, '%Y-%m-%d') AS day, lower(trim(sample_group)) AS g, value AS v FROM bins WHERE value IS NOT NULL),
+        m AS (SELECT DISTINCT set_id, lower(trim(sample_group)) AS g FROM group_sets WHERE sample_group IS NOT NULL),
+        s AS (SELECT set_id, day, v FROM c JOIN m USING (g)),
+        e AS (
+            SELECT 'day' AS scope, count(DISTINCT v) AS n FROM c GROUP BY day
+            UNION ALL SELECT 'group', count(DISTINCT v) FROM c GROUP BY g
+            UNION ALL SELECT 'day_group', count(DISTINCT v) FROM c GROUP BY day, g
+            UNION ALL SELECT 'set', count(DISTINCT v) FROM s GROUP BY set_id
+            UNION ALL SELECT 'day_set', count(DISTINCT v) FROM s GROUP BY set_id, day
+        )
+        SELECT scope, count(*) AS n, sum(n)::BIGINT AS total, true AS kept FROM e GROUP BY 1
+    """,
     "p2_partials": f"""
         WITH {_BITMAP}
         SELECT batch_id, day, sample_group, (level * 64 + bit // 64)::INT AS slot,

@@ -203,19 +203,58 @@ def _by_heap(vocabulary: Vocabulary, piece: bytes) -> list[int]:
 
 
 class Encoder:
-    """Encodes texts and remembers pieces."""
+    """Encodes texts and remembers pieces: a piece has a number, its ids lie in a pool of all."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str = PATTERN) -> None:
-        self.vocabulary, self.cut, self.known = vocabulary, regex.compile(pattern).findall, {}
+        self.vocabulary, self.cut = vocabulary, regex.compile(pattern).findall
+        self._forget()
 
-    def __call__(self, texts: list[str | None]) -> list[list[int]]:
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.used = np.empty(1 << 16, np.int32), 0
+        self.starts, self.sizes = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+
+    def _learn(self, fresh: list[str]) -> None:
+        ids = encode_pieces(self.vocabulary, [p.encode() for p in fresh])
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        first, more = len(self.known), int(sizes.sum())
+        self.pool = _room(self.pool, self.used + more)
+        self.starts, self.sizes = _room(self.starts, first + len(ids)), _room(self.sizes, first + len(ids))
+        self.pool[self.used : self.used + more] = np.fromiter(chain.from_iterable(ids), np.int32, more)
+        self.sizes[first : first + len(ids)] = sizes
+        self.starts[first : first + len(ids)] = self.used + np.cumsum(sizes) - sizes
+        self.used += more
+        self.known.update(zip(fresh, range(first, first + len(ids))))
+
+    def flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin."""
         cut = [self.cut(t) if t else [] for t in texts]
         fresh = list({p for c in cut for p in c if p not in self.known})
         if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
+            self._forget()
             fresh = list({p for c in cut for p in c})
-        self.known.update(zip(fresh, encode_pieces(self.vocabulary, [p.encode() for p in fresh])))
-        return [list(chain.from_iterable(map(self.known.__getitem__, c))) for c in cut]
+        if fresh:
+            self._learn(fresh)
+        pieces = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+        sizes = self.sizes[pieces]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.arange(total) + np.repeat(self.starts[pieces] - ends + sizes, sizes)
+        per_text = np.cumsum([0, *map(len, cut)])
+        return self.pool[at], np.concatenate([[0], ends])[per_text]
+
+    def __call__(self, texts: list[str | None]) -> list[list[int]]:
+        ids, bounds = self.flat(texts)
+        return [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+
+
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """``array``, or a copy with room for ``size``."""
+    if size <= len(array):
+        return array
+    more = np.empty(max(size, 2 * len(array)), array.dtype)
+    more[: len(array)] = array
+    return more
 
 
 def encoded(documents: DataFrame, vocabulary: Vocabulary, pattern: str = PATTERN) -> DataFrame:
@@ -236,11 +275,9 @@ def encoded(documents: DataFrame, vocabulary: Vocabulary, pattern: str = PATTERN
             for end, text in enumerate(texts, 1):
                 chars += len(text or "")
                 if chars >= CHARS or end == len(texts):
-                    ids = encoder(texts[start:end])
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").slice(start, end - start), pa.array(ids, pa.list_(pa.int32()))],
-                        schema=schema,
-                    )
+                    ids, bounds = encoder.flat(texts[start:end])
+                    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, end - start), lists], schema=schema)
                     start, chars = end, 0
 
     texts = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
