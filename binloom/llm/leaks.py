@@ -174,7 +174,7 @@ class Index:
             inside &= sums[width:] - sums[:-width] >= self._least(width)
             starts = np.flatnonzero(inside)
             for low in range(0, len(starts), 100_000):
-                some = starts[low : low + 100_000]
+                some, proposals = starts[low : low + 100_000], []
                 for h in hashes(codes, some, width):
                     slot = (h >> np.uint64(40)).astype(np.int64)
                     maybe = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
@@ -194,9 +194,9 @@ class Index:
                         word, at = codes[where + step], place + step
                         equal += (word == self.near[at + 1]) | (word == self.near[at]) | (word == self.near[at + 2])
                     good = equal >= self._least(width)
-                    if good.any():
-                        where, owner = where[good], owner[good]
-                        self._verify(codes, bounds, where, owner, where - offset[good], found)
+                    proposals.append((where[good], owner[good], where[good] - offset[good]))
+                if proposals:
+                    self._verify(codes, bounds, *map(np.concatenate, zip(*proposals)), found)
         return found
 
     @staticmethod
@@ -210,8 +210,11 @@ class Index:
     def _verify(self, codes, bounds, where, owners, shifts, found) -> None:
         """Compare item and document word by word along each proposed alignment."""
         documents = np.searchsorted(bounds, where, "right") - 1
-        proposals = np.unique(np.stack([owners, documents, shifts], 1), axis=0)
-        for owner, document, shift in proposals.tolist():
+        order = np.lexsort((shifts, documents, owners))
+        owners, documents, shifts = owners[order], documents[order], shifts[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (owners[1:] != owners[:-1]) | (documents[1:] != documents[:-1]) | (shifts[1:] != shifts[:-1])
+        for owner, document, shift in zip(owners[new].tolist(), documents[new].tolist(), shifts[new].tolist()):
             if (owner, document) in found:
                 continue
             item = self.codes[owner]
