@@ -31,34 +31,34 @@ class FilterConfig:
         """A copy with defaults filled in; ``ValueError`` where an option is out of bounds."""
         n, tmax = self.number_of_user_bins, self.tmax
         if n == 0:
-            raise ValueError("number_of_user_bins is not set")
+            raise ValueError("a tree needs its number_of_user_bins")
         if n >= 2**64 - 2:
-            raise ValueError("number_of_user_bins may be 18446744073709551613 at most")
+            raise ValueError(f"{n} user bins are more than can be numbered")
         if not 1 <= self.number_of_hash_functions <= 5:
-            raise ValueError("number_of_hash_functions must be in [1,5]")
+            raise ValueError(f"there are one to five hash functions, not {self.number_of_hash_functions}")
         if not 0.0 < self.maximum_fpr < 1.0:
-            raise ValueError("maximum_fpr must be in (0.0,1.0)")
+            raise ValueError(f"a maximum_fpr of {self.maximum_fpr} is no rate between 0 and 1")
         if not 0.0 < self.relaxed_fpr < 1.0:
-            raise ValueError("relaxed_fpr must be in (0.0,1.0)")
+            raise ValueError(f"a relaxed_fpr of {self.relaxed_fpr} is no rate between 0 and 1")
         if self.relaxed_fpr < self.maximum_fpr:
-            raise ValueError("relaxed_fpr must be greater than or equal to maximum_fpr")
+            raise ValueError(f"the relaxed_fpr of {self.relaxed_fpr} is below the maximum_fpr of {self.maximum_fpr}")
         if self.threads < 1:
-            raise ValueError("threads must be greater than 0")
+            raise ValueError(f"{self.threads} threads can do nothing")
         if not 5 <= self.sketch_bits <= 32:
-            raise ValueError("sketch_bits must be in [5,32]")
+            raise ValueError(f"sketch_bits of {self.sketch_bits} are not from 5 to 32")
         if tmax == 0:
             tmax = next_multiple_of_64(math.ceil(math.sqrt(n)))
         elif not 0 < tmax <= 2**64 - 64:
-            raise ValueError("tmax may be 18446744073709551552 at most")
+            raise ValueError(f"a tmax of {tmax} is out of range")
         elif tmax % 64:
             tmax = next_multiple_of_64(tmax)
             warnings.warn(f"tmax was raised to {tmax}, the next multiple of 64", stacklevel=2)
         if not 0.0 <= self.empty_bin_fraction < 1.0:
-            raise ValueError("empty_bin_fraction must be in [0.0,1.0)")
+            raise ValueError(f"an empty_bin_fraction of {self.empty_bin_fraction} leaves no bins or is negative")
         if self.alpha < 0.0:
-            raise ValueError("alpha must be positive")
+            raise ValueError(f"alpha is {self.alpha}, but a weight is not negative")
         if not 0.0 <= self.max_rearrangement_ratio <= 1.0:
-            raise ValueError("max_rearrangement_ratio must be in [0.0,1.0]")
+            raise ValueError(f"a max_rearrangement_ratio of {self.max_rearrangement_ratio} is no ratio from 0 to 1")
         return replace(
             self,
             tmax=tmax,

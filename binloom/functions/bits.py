@@ -69,6 +69,20 @@ def resize(a: Column, size: int) -> Column:
     return F.transform(cut, lambda x, i: F.when(i == words - 1, x.bitwiseAND(tail)).otherwise(x))
 
 
+def assigned(size: int, bit: bool) -> Column:
+    """A vector of ``size`` equal bits; without any, the empty one."""
+    words, tail = divmod(size, 64)
+    whole = F.array_repeat(F.lit(-1 if bit else 0).cast("bigint"), words)
+    last = F.lit((1 << tail) - 1 if bit else 0).cast("bigint")
+    return F.concat(whole, F.array(last)) if tail else whole
+
+
+def push_back(a: Column, size: int, bit: bool) -> Column:
+    """The vector of ``size`` bits with one more."""
+    longer = resize(a, size + 1)
+    return flip(longer, size) if bit else longer
+
+
 def bit_count(a: Column) -> Column:
     return F.aggregate(a, F.lit(0), lambda s, x: s + F.bit_count(x))
 

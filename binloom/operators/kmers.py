@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,16 @@ def pairs_of(texts: DataFrame, id_column: str, text: str = "text") -> DataFrame:
     return hashing.code_point_pairs(texts, id_column, text).toDF("user_bin_id", "value")
 
 
+def values_of(rows: DataFrame, id_column: str, column: str, values: Callable[[pd.Series], pd.Series]) -> DataFrame:
+    """(user_bin_id, value): whatever ``values`` makes of a column, a list of numbers for each row; null lists are empty.
+
+    For inputs that no built-in expression turns into values. ``values`` gets a
+    batch of rows as a series and returns one of the same length.
+    """
+    made = F.pandas_udf(values, "array<bigint>")
+    return rows.select(F.col(id_column).cast("bigint").alias("user_bin_id"), F.explode(made(F.col(column))).alias("value"))
+
+
 def queries_of(texts: DataFrame, id_column: str, text: str = "text", k: int = 20) -> DataFrame:
     return bins_of(texts, id_column, text, k).withColumnRenamed("user_bin_id", "query_id")
 

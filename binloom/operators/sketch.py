@@ -92,12 +92,10 @@ def np_estimate(registers_: np.ndarray) -> float:
     """The estimate with sums in single precision over eight lanes, as stored sketches expect."""
     m = len(registers_)
     bits = m.bit_length() - 1
-    lanes = np.zeros(8, np.float32)
-    for row in np.exp2(-registers_.astype(np.float32)).astype(np.float32).reshape(-1, 8):
-        lanes += row
-    total = np.float32(0)
-    for lane in lanes:
-        total = np.float32(total + lane)
+    terms = np.exp2(-registers_.astype(np.float32)).astype(np.float32).reshape(-1, 8)
+    # Running sums add in the given order, each time in single precision.
+    lanes = np.add.accumulate(terms, axis=0, dtype=np.float32)[-1]
+    total = np.add.accumulate(lanes, dtype=np.float32)[-1]
     value = norm(bits) / float(total)
     zeros = int(np.count_nonzero(registers_ == 0))
     return m * math.log(m / zeros) if value <= 2.5 * m and zeros else value

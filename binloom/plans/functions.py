@@ -71,6 +71,8 @@ def bit_algebra(spark: SparkSession, d: str) -> DataFrame:
         first(bits.bit_and_not(x, y)).alias("first_only"),
         first(bits.bit_not(x)).alias("others"),
         first(bits.flip(x, 5)).alias("flipped"),
+        F.element_at(bits.push_back(bits.resize(x, 100), 100, True), 2).alias("pushed"),
+        F.element_at(bits.bit_or(bits.resize(x, 100), bits.assigned(100, True)), 2).alias("assigned"),
         bits.get(x, 70).alias("bit_70"),
         bits.bit_count(x).cast("bigint").alias("n_bits"),
         bits.any_set(x).alias("any_bit"),
@@ -156,7 +158,7 @@ SQL = {
     "bit_algebra": """
         WITH o AS (SELECT l_orderkey, bit_or(1::BIGINT << (l_partkey % 63)) AS a, bit_or(1::BIGINT << (l_suppkey % 63)) AS b FROM lineitem GROUP BY 1)
         SELECT l_orderkey, a & b AS both, a | b AS either, xor(a, b) AS one, a & ~b AS first_only, ~a AS others, xor(a, 32::BIGINT) AS flipped,
-               (b >> 6) & 1 = 1 AS bit_70, (bit_count(a) + bit_count(b))::BIGINT AS n_bits, a <> 0 OR b <> 0 AS any_bit, a = 0 AND b = 0 AS no_bit, a = -1 AND b = -1 AS all_bits FROM o
+               (b & 68719476735) | 68719476736 AS pushed, 68719476735 AS assigned, (b >> 6) & 1 = 1 AS bit_70, (bit_count(a) + bit_count(b))::BIGINT AS n_bits, a <> 0 OR b <> 0 AS any_bit, a = 0 AND b = 0 AS no_bit, a = -1 AND b = -1 AS all_bits FROM o
     """,
     "counting_algebra": """
         WITH o AS (SELECT l_orderkey, sum(l_linenumber)::BIGINT AS a, count(*) AS b, max(l_suppkey) AS w FROM lineitem GROUP BY 1)

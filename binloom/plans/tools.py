@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,16 @@ def _sequences(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return kmers.bins_of(texts, "s_suppkey", k=8), kmers.queries_of(part, "s_suppkey", k=8)
 
 
+def function_values(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct values of each user bin when a function makes three of each part key."""
+
+    def values(keys: pd.Series) -> pd.Series:
+        return keys.map(lambda k: [k, 2 * k, -k])
+
+    lines = table(spark, d, "lineitem")
+    return flat.exact_counts(kmers.values_of(lines, "l_suppkey", "l_partkey", values))
+
+
 def kmer_search(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers whose sequence holds 70 % of the 8-mers of a part of a sequence."""
     values, asked = _sequences(spark, d)
@@ -78,7 +89,7 @@ def streamed_words(spark: SparkSession, d: str) -> DataFrame:
     return flat.fill_rate(store.current().words).join(ids, F.col("bin") == F.col("user_bin_id")).select("event_type", "bits")
 
 
-QUERIES = {f.__name__: f for f in (fpr_simulation, hash_collision_simulation, kmer_search_documents, kmer_search, kmer_count, streamed_words)}
+QUERIES = {f.__name__: f for f in (fpr_simulation, hash_collision_simulation, function_values, kmer_search_documents, kmer_search, kmer_count, streamed_words)}
 
 _SIZE_OF = "ceil(-({n} * 2.0::DOUBLE) / ln(1 - exp(ln(0.05::DOUBLE) / 2)))"
 _SPLIT = "(ln(1 - exp(ln(0.05::DOUBLE) / 2)) / ln(1 - exp(ln(1 - exp(ln(1 - 0.05::DOUBLE) / 4)) / 2)))"
@@ -100,6 +111,10 @@ SQL = {
         WITH z AS (SELECT {_SIZE_OF.format(n=1000)} AS m), i AS (SELECT unnest(generate_series(1, 999)) AS i)
         SELECT m::BIGINT AS bin_size, round(sum(exp(2 * ln(1 - exp(-2.0::DOUBLE * i / m)))), 4) AS expected, true AS near FROM z CROSS JOIN i GROUP BY m
     """,
+    "function_values": """
+        SELECT l_suppkey AS user_bin_id, count(DISTINCT v) AS cardinality
+        FROM (SELECT l_suppkey, unnest([l_partkey, 2 * l_partkey, -l_partkey]) AS v FROM lineitem) GROUP BY 1
+    """,
     "kmer_search": f"WITH {_ASKED} SELECT q AS query_id, b AS user_bin_id FROM counted JOIN lim USING (q) WHERE cnt >= t",
     "kmer_count": f"WITH {_ASKED} SELECT q AS query_id, b AS user_bin_id, cnt FROM counted",
     "streamed_words": f"""
