@@ -101,15 +101,15 @@ def links(bands: DataFrame, picked: DataFrame, reps: DataFrame, least: float) ->
     """
     n = reps.select("bin", "n")
     order = F.xxhash64("bin", F.col("band") % F.lit(ORDERS))
+    # One shuffle brings a bucket's members together, for its hub and for the join with it.
+    met = bands.repartition("bucket")
     hubs = (
-        bands.groupBy("bucket")
+        met.groupBy("bucket")
         .agg(F.min_by("bin", order).alias("hub"), F.count(F.lit(1)).alias("size"))
         .filter("size > 1")
-        .join(n.withColumnsRenamed({"bin": "hub", "n": "nh"}), "hub")
-    )
-    members = written(
-        bands.join(hubs, "bucket").filter("bin <> hub").join(n, "bin").select("bucket", "size", "bin", "n", "hub", "nh"), "members"
     )
+    members = met.join(hubs, "bucket").filter("bin <> hub").join(n, "bin").join(n.withColumnsRenamed({"bin": "hub", "n": "nh"}), "hub")
+    members = written(members.select("bucket", "size", "bin", "n", "hub", "nh"), "members")
     pair = [F.least("bin", "hub").alias("bin"), F.greatest("bin", "hub").alias("hub")]
     alike = F.least("n", "nh") >= F.lit(least) * F.greatest("n", "nh")
     spokes = written(members.filter(alike).select(*pair).distinct(), "near")
