@@ -51,6 +51,13 @@ def tree_membership_verified(spark: SparkSession, d: str) -> DataFrame:
     return tree.verified(found, _values(spark, d), asked, "threshold").select("query_id", "user_bin_id")
 
 
+def tree_unions(spark: SparkSession, d: str) -> DataFrame:
+    """Membership from a tree over ``bins`` that is planned with union estimates and rearrangement."""
+    asked = _queries(spark, d)
+    found = tree.count(_tree(spark, d, FilterConfig(sketch_bits=8)), asked, "threshold")
+    return tree.verified(found, _values(spark, d), asked, "threshold").select("query_id", "user_bin_id")
+
+
 def tree_count_verified(spark: SparkSession, d: str) -> DataFrame:
     asked = _queries(spark, d)
     return tree.verified(tree.count(_tree(spark, d), asked, 1), _values(spark, d), asked, 1)
@@ -103,7 +110,7 @@ def tree_saved(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (tree_membership, tree_membership_verified, tree_count_verified, ratio_threshold_search, tree_inspect, tree_totals, tree_bins, tree_saved)
+    for f in (tree_membership, tree_membership_verified, tree_unions, tree_count_verified, ratio_threshold_search, tree_inspect, tree_totals, tree_bins, tree_saved)
 }
 
 _HELD = """
@@ -122,6 +129,7 @@ SQL = {
     """,
     "tree_totals": f"WITH {_HELD} SELECT count(DISTINCT user_bin_id)::BIGINT AS user_bins, true AS within, true AS kept FROM held",
     "tree_membership_verified": _MEMBERS,
+    "tree_unions": _MEMBERS,
     "tree_saved": _MEMBERS,
     "tree_count_verified": f"WITH {_HELD} SELECT query_id, user_bin_id, cnt FROM counted",
     "ratio_threshold_search": f"WITH {_HELD} SELECT query_id, user_bin_id, cnt FROM counted JOIN lim USING (query_id) WHERE cnt >= r",
