@@ -3,7 +3,8 @@
 One multi-pattern automaton finds phrases of error, block and check pages, of
 notices that scripts or cookies are needed, of page furniture, of failing
 programs and of filler, in several languages; a word for scripts and a word for
-what has to be done with them count with all that stands between them. A sentence
+what has to be done with them, or a stand-in and what goes here, count with all
+that stands between them. A sentence
 of whose letters matches make up a good part counts as covered, however long it
 is; words with digits, such as references, do not count at all, and a sentence in
 which the author tells what they did is not covered unless it is nothing but
@@ -37,7 +38,7 @@ COVERED = 0.6
 SENTENCE = 0.3
 #: Part of them in a sentence that tells what somebody did.
 TOLD = 0.75
-#: Characters between a word for scripts and what has to be done with them.
+#: Characters between a word for scripts and what has to be done with them, or between a stand-in and where it goes.
 REACH = 40
 
 # Phrases, lower case, without accents and with single blanks.
@@ -78,7 +79,7 @@ FURNITURE = (
     "go back to the home page", "back to the home page", "back to home", "skip to content", "skip to main content", "loading", "please wait", "home questions tags users", "search", "contact", "contact us", "contact support", "<noscript>", "ref.",
 )
 FILLER = (
-    "lorem ipsum", "dolor sit amet", "goes here", "replace before publishing", "replace this text", "sample text", "dummy text", "filler text", "placeholder text", "example text", "answer text", "your text here", "text goes here", "insert text", "insert your", "does this show up", "just testing", "this is a test", "test post", "please ignore", "1 2 3 test", "test test", "testing testing", "blindtext", "hier steht", "texte ici", "texte provisoire", "a remplacer", "faux texte", "texte de remplissage", "mustertext", "fülltext", "texto de relleno", "texto provisional", "texto de muestra", "texto provisorio", "testo segnaposto", "testo di prova", "voorbeeldtekst", "opvultekst", "tekst zastępczy", "текст-заполнитель", "пример текста", "ダミーテキスト", "サンプルテキスト", "示例文本", "占位文本", "texto de ejemplo", "texto de prueba", "texte d'exemple", "beispieltext", "platzhaltertext", "content coming soon", "coming soon", "to be written", "to be added", "write something here", "type here",
+    "lorem ipsum", "dolor sit amet", "goes here", "replace before publishing", "replace this text", "sample text", "dummy text", "filler text", "placeholder text", "example text", "answer text", "your text here", "text goes here", "insert text", "insert your", "does this show up", "just testing", "this is a test", "test post", "please ignore", "1 2 3 test", "test test", "testing testing", "blindtext", "texte ici", "texte provisoire", "a remplacer", "faux texte", "texte de remplissage", "mustertext", "fülltext", "texto de relleno", "texto provisional", "texto de muestra", "texto provisorio", "testo segnaposto", "testo di prova", "voorbeeldtekst", "opvultekst", "tekst zastępczy", "текст-заполнитель", "пример текста", "ダミーテキスト", "サンプルテキスト", "示例文本", "占位文本", "texto de ejemplo", "texto de prueba", "texte d'exemple", "beispieltext", "platzhaltertext", "content coming soon", "coming soon", "to be written", "to be added", "write something here", "type here",
 )
 #: Pseudo-Latin is made of these.
 LATIN = (
@@ -103,7 +104,9 @@ DUMPS = (
 # Filler and tasks, put together from their words.
 _STUBS = [f"{a} {b}" for a in ("sample", "placeholder", "example", "dummy", "filler", "final") for b in ("text", "copy", "wording", "content", "heading", "code", "example", "data", "paragraph", "sentence", "answer", "question", "title", "summary", "value", "image")]
 _STUBS += [f"{a} {b}" for a in ("text", "wording", "content", "details", "description", "heading", "title", "summary") for b in ("to follow", "to come", "folgt", "suivra", "goes here", "go here", "comes here", "kommt hier", "va ici")]
-_STUBS += ["goes here", "go here", "comes here", "kommt hier", "va ici"]
+#: Words for what stands in for content, and what such a sentence says of it.
+STAND_INS = ("placeholder", "sample", "example", "dummy", "filler", "your", "beispiel", "platzhalter", "exemple", "ejemplo")
+HERE = ("goes here", "go here", "comes here", "kommt hier", "hier steht", "va ici", "va aqui", "vai aqui")
 _TASKS = [
     f"{a}{sign}{verb}"
     for a in ("todo", "to do", "fixme", "tbd", "xxx")
@@ -156,7 +159,9 @@ def plain(text: str) -> str:
     return text
 
 
-_PAGE, _SCRIPT, _DEED, _TELL = range(4)
+_PAGE, _SCRIPT, _DEED, _TELL, _STAND_IN, _HERE = range(6)
+#: Kinds that count with all that stands between them.
+_PAIRS = ((_SCRIPT, _DEED), (_STAND_IN, _HERE))
 #: Words without digits; the letters of a sentence are counted in these.
 _LETTERS = re.compile(r"[^\W\d_]+(?![\w])", re.U)
 
@@ -173,8 +178,8 @@ class Finder:
         kinds: dict[str, int] = {}
         status = [str(code) for code in (*range(400, 432), 451, *range(500, 512), *range(520, 531))]
         for kind, phrases in (
-            (_TELL, TELLING), (_DEED, DEEDS), (_SCRIPT, SCRIPT_WORDS),
             (_PAGE, (*ERRORS, *SCRIPTS, *FURNITURE, *FILLER, *PAGES, *DUMPS, *_STUBS, *_TASKS, *status)),
+            (_TELL, TELLING), (_DEED, DEEDS), (_SCRIPT, SCRIPT_WORDS), (_STAND_IN, STAND_INS), (_HERE, HERE),
         ):
             kinds |= {plain(p): kind for p in phrases}
         for phrase, kind in kinds.items():
@@ -200,15 +205,12 @@ class Finder:
 
     @staticmethod
     def covered(sentence: str, spans: list[tuple[int, int, int]]) -> bool:
-        marked = [(a, b) for a, b, kind in spans if kind == _PAGE]
-        scripts = [(a, b) for a, b, kind in spans if kind == _SCRIPT]
-        if scripts:
-            for a, b, kind in spans:
-                if kind == _DEED:
-                    for c, d in scripts:
-                        low, high = min(a, c), max(b, d)
-                        if max(a, c) - min(b, d) <= REACH:
-                            marked.append((low, high))
+        marked = [(a, b) for a, b, kind in spans if kind in (_PAGE, _HERE)]
+        for one, other in _PAIRS:
+            first = [(a, b) for a, b, kind in spans if kind == one]
+            for c, d, kind in spans if first else ():
+                if kind == other:
+                    marked += [(min(a, c), max(b, d)) for a, b in first if max(a, c) - min(b, d) <= REACH]
         if not marked:
             return False
         matched = reach = 0

@@ -322,6 +322,7 @@ def test_stopping_early_changes_nothing():
     "We could not locate the document you asked for. It may have moved.",
     "Sorry, we couldn't find that page. Try searching instead.",
     "La página que buscas ha desaparecido. Vuelve al inicio.",
+    "Placeholder introduction goes here. Placeholder body copy goes here. ",
     "Der Dienst steht derzeit leider nicht zur Verfügung.",
     "How do I " + "really and truly " * 30 + "fold a map?\n\n404 Not Found\nThe page you requested does not exist.",
 ])
