@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from binloom.functions import bits, hashing, sizing
 from binloom.operators import flat
-from binloom.plans.common import SEEDS, TWO64, GOLDEN, hashed, signed, supplier_parts, unsigned
+from binloom.plans.common import TWO64, GOLDEN, hashed, signed, supplier_parts, unsigned
 from binloom.session import table
 
 _SIZE = 7903

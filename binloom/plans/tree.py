@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binloom.config import FilterConfig
-from binloom.operators import flat, inspect, sketch, tree
+from binloom.operators import flat, inspect, tree
 from binloom.session import shared_folder, table, written
 
 _CONFIG = FilterConfig(disable_estimate_union=True, disable_rearrangement=True)
