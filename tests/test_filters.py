@@ -99,6 +99,25 @@ def test_strategies_agree(spark, monkeypatch):
     assert flat.count(index, q).count() > 0
 
 
+def blocked(monkeypatch):
+    """Filters of 211 rows are larger than what is sent at once; a row for each value and word is never made."""
+    monkeypatch.setattr(flat, "BROADCAST_BITS", 64 * 211)
+    monkeypatch.setattr(flat, "contained", lambda *_: pytest.fail("joined"))
+
+
+def test_large_filters_count_by_blocks_of_words(spark, monkeypatch):
+    sets = {b: range(7 * b, 7 * b + 40) for b in range(130)}
+    index = flat.build(frame(spark, sets), 130, 211)
+    # Runs of one value, of more than a piece and across batches.
+    queries = {x: [v % 900 for v in range(13 * x, 13 * x + 3 * x)] + [5] for x in range(60)} | {99: [*range(900)] * 15}
+    q = asked(spark, queries).withColumn("t", F.col("query_id") % 30)
+    right = pairs(flat.count(index, q, "join"))
+    blocked(monkeypatch)
+    assert pairs(flat.count(index, q)) == right
+    monkeypatch.setattr(flat, "HOT_QUERY", 200)
+    assert pairs(flat.count(index, q)) == right
+
+
 def test_rows_without_query_id_are_left_out(spark):
     index = flat.build(frame(spark, {0: range(40), 1: range(9, 30)}), 2, 211)
     q = spark.createDataFrame([(1, 5), (1, 10), (None, 5), (None, 11)], "query_id bigint, value bigint")
