@@ -118,6 +118,14 @@ def test_large_filters_count_by_blocks_of_words(spark, monkeypatch):
     assert pairs(flat.count(index, q)) == right
 
 
+def test_large_filters_answer_membership_by_blocks_of_words(spark, monkeypatch):
+    index = flat.build(frame(spark, {b: range(7 * b, 7 * b + 40) for b in range(130)}), 130, 211)
+    q = asked(spark, {x: [v % 900 for v in range(13 * x, 13 * x + 3 * x + 1)] for x in range(60)}).withColumn("t", F.col("query_id") % 30)
+    right = [pairs(flat.membership(index, q, t, "join")) for t in (7, 64, 0, F.col("t"))]
+    blocked(monkeypatch)
+    assert [pairs(flat.membership(index, q, t)) for t in (7, 64, 0, F.col("t"))] == right
+
+
 def test_rows_without_query_id_are_left_out(spark):
     index = flat.build(frame(spark, {0: range(40), 1: range(9, 30)}), 2, 211)
     q = spark.createDataFrame([(1, 5), (1, 10), (None, 5), (None, 11)], "query_id bigint, value bigint")
