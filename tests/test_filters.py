@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from binloom.config import FilterConfig
 from binloom.operators import flat, inspect, kmers, simulate, tree
 from binloom.operators.layout import Layout
+from binloom.plans import filters
 from binloom.sources import layout_text
 from binloom.streaming.insert import WordStore
 
@@ -305,3 +306,13 @@ def test_streamed_insert_equals_batch(spark, tmp_path):
     assert len(store.versions()) <= 4
     store.add(values.filter("user_bin_id = 0"), store.versions()[-1] + 1)  # values delivered again change nothing
     assert words == {tuple(r) for r in store.current().words.select("pos", "word_idx", "word").collect()}
+
+
+def test_only_candidates_are_recounted(spark, monkeypatch):
+    given = {}
+    real = tree.verified
+    monkeypatch.setattr(tree, "verified", lambda found, values, asked, t: given.update(found=found, values=values, asked=asked) or real(found, values, asked, t))
+    right = filters.filter_membership_verified(spark, "/root/testdata/sf0.001")
+    ids = lambda name, column: {r[0] for r in given[name].select(column).distinct().collect()}
+    assert ids("asked", "query_id") == ids("found", "query_id") and ids("values", "user_bin_id") == ids("found", "user_bin_id")
+    assert right.count() > 0
