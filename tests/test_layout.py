@@ -3,7 +3,8 @@ import pytest
 
 from binloom.config import FilterConfig, read_config, write_config
 from binloom.functions import sizing
-from binloom.operators import arrange, layout, sketch
+from binloom.operators import arrange, layout, sketch, tree
+from binloom.plans import layouts
 from binloom.sources import layout_text
 
 
@@ -165,3 +166,11 @@ def test_orders_and_intervals(spark):
     assert cut == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1, 5: 2}
     assert arrange.sorted_bins(df.limit(0)).count() == 0
     assert sizing.divide_and_ceil(7, 7) == 1
+
+
+def test_unions_are_planned_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(tree, "PART", 3)
+    monkeypatch.setattr(layouts, "_supplier_counts", lambda *_: pytest.fail("user bins on the driver"))
+    rows = layouts.layout_with_unions(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r["user_bin"] for r in rows) == list(range(len(rows))) and len(rows) > 3
+    assert {(r["times"], r["inside"], r["alone"]) for r in rows} == {(1, True, True)}
