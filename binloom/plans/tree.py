@@ -59,8 +59,7 @@ def tree_unions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tree_count_verified(spark: SparkSession, d: str) -> DataFrame:
-    asked = _queries(spark, d)
-    return tree.verified(tree.count(_tree(spark, d), asked, 1), _values(spark, d), asked, 1)
+    return tree.count_verified(_tree(spark, d), _values(spark, d), _queries(spark, d))
 
 
 def ratio_threshold_search(spark: SparkSession, d: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import dataclasses
 import math
 
 import pytest
@@ -7,6 +8,7 @@ from binloom.config import FilterConfig
 from binloom.operators import flat, inspect, kmers, simulate, tree
 from binloom.operators.layout import Layout
 from binloom.plans import filters
+from binloom.plans import tree as tree_plans
 from binloom.sources import layout_text
 from binloom.streaming.insert import WordStore
 
@@ -316,3 +318,18 @@ def test_only_candidates_are_recounted(spark, monkeypatch):
     ids = lambda name, column: {r[0] for r in given[name].select(column).distinct().collect()}
     assert ids("asked", "query_id") == ids("found", "query_id") and ids("values", "user_bin_id") == ids("found", "user_bin_id")
     assert right.count() > 0
+
+
+def test_shared_values_are_counted_without_candidates(spark, deep, monkeypatch):
+    index, sets = deep
+    values = frame(spark, sets)
+    q = asked(spark, {q: [v % 11_000 for v in range(37 * q, 37 * q + 40)] + [5, 5, None] for q in range(30)})
+    right = pairs(q.join(values.distinct(), "value").groupBy("query_id", "user_bin_id").count())
+    monkeypatch.setattr(tree, "LIST", 100)
+    monkeypatch.setattr(tree, "PAIRS", 50)
+    assert pairs(tree.count_verified(index, values, q)) == right
+    # Values that a user bin has but the filters do not hold are not found.
+    gone = dataclasses.replace(index, words=index.words.filter("ibf_id <> 0"))
+    assert tree.count_verified(gone, values, q).isEmpty()
+    monkeypatch.setattr(tree, "count", lambda *_: pytest.fail("candidates of all queries"))
+    assert tree_plans.tree_count_verified(spark, "/root/testdata/sf0.001").count() > 0
