@@ -73,7 +73,7 @@ def kmer_count(spark: SparkSession, d: str) -> DataFrame:
     """Queries by supplier: how many of the 8-mers it holds."""
     values, asked = _sequences(spark, d)
     index = tree.build(values, tree.FilterConfig(disable_estimate_union=True))
-    return tree.verified(tree.count(index, asked, 1), values, asked, 1)
+    return tree.count_verified(index, values, asked)
 
 
 def streamed_words(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from binloom.config import FilterConfig
 from binloom.operators import flat, inspect, kmers, simulate, tree
 from binloom.operators.layout import Layout
-from binloom.plans import filters
+from binloom.plans import filters, tools
 from binloom.plans import tree as tree_plans
 from binloom.sources import layout_text
 from binloom.streaming.insert import WordStore
@@ -333,3 +333,10 @@ def test_shared_values_are_counted_without_candidates(spark, deep, monkeypatch):
     assert tree.count_verified(gone, values, q).isEmpty()
     monkeypatch.setattr(tree, "count", lambda *_: pytest.fail("candidates of all queries"))
     assert tree_plans.tree_count_verified(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_kmers_are_counted_without_candidates(spark, monkeypatch):
+    monkeypatch.setattr(tree, "count", lambda *_: pytest.fail("candidates of all queries"))
+    d = "/root/testdata/sf0.001"
+    values, q = tools._sequences(spark, d)
+    assert pairs(tools.kmer_count(spark, d)) == pairs(q.join(values.distinct(), "value").groupBy("query_id", "user_bin_id").count())
