@@ -129,6 +129,14 @@ def test_large_filters_answer_membership_by_blocks_of_words(spark, monkeypatch):
     assert [pairs(flat.membership(index, q, t)) for t in (7, 64, 0, F.col("t"))] == right
 
 
+def test_large_filters_find_bins_by_blocks_of_words(spark, monkeypatch):
+    values = frame(spark, {b: range(7 * b, 7 * b + 40) for b in range(130)})
+    index, q = flat.build(values, 130, 211), spark.createDataFrame([(v,) for v in [*range(-5, 1000), 5, 5, None]], "value bigint")
+    right = pairs(flat.contains(index, q, "join"))
+    blocked(monkeypatch)
+    assert pairs(flat.contains(index, q)) == right and set(pairs(values.select("value", "user_bin_id").distinct())) <= set(right)
+
+
 def test_rows_without_query_id_are_left_out(spark):
     index = flat.build(frame(spark, {0: range(40), 1: range(9, 30)}), 2, 211)
     q = spark.createDataFrame([(1, 5), (1, 10), (None, 5), (None, 11)], "query_id bigint, value bigint")
