@@ -137,6 +137,20 @@ def test_large_filters_find_bins_by_blocks_of_words(spark, monkeypatch):
     assert pairs(flat.contains(index, q)) == right and set(pairs(values.select("value", "user_bin_id").distinct())) <= set(right)
 
 
+@pytest.mark.parametrize("far", [lambda b: 1000 * b, lambda b: b + b // 64 * 10**9])
+def test_large_filters_of_ids_with_gaps_are_looked_up_by_blocks(spark, monkeypatch, far):
+    # Each bin in a word of its own; full words far apart.
+    index = flat.build(frame(spark, {far(b): range(7 * b, 7 * b + 40) for b in range(130)}), 3 * 10**9, 211)
+    q = asked(spark, {x: [v % 900 for v in range(13 * x, 13 * x + 3 * x + 1)] for x in range(60)})
+    values = q.select("value")
+    right = [pairs(flat.count(index, q, "join")), pairs(flat.membership(index, q, 20, "join")), pairs(flat.contains(index, values, "join"))]
+    assert all(right)
+    blocked(monkeypatch)
+    assert [pairs(flat.count(index, q)), pairs(flat.membership(index, q, 20)), pairs(flat.contains(index, values))] == right
+    empty = flat.build(frame(spark, {0: [None]}), 3 * 10**9, 211)
+    assert flat.count(empty, q).isEmpty() and flat.contains(empty, values).isEmpty()
+
+
 def test_rows_without_query_id_are_left_out(spark):
     index = flat.build(frame(spark, {0: range(40), 1: range(9, 30)}), 2, 211)
     q = spark.createDataFrame([(1, 5), (1, 10), (None, 5), (None, 11)], "query_id bigint, value bigint")
