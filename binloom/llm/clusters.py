@@ -48,8 +48,8 @@ _MASKS = _rng.integers(0, 2**64, (BANDS, ROWS), np.uint64)
 _FACTORS = _rng.integers(0, 2**64, (BANDS, ROWS), np.uint64) | np.uint64(1)
 
 _MINIMA = [f"h{i}" for i in range(ROWS)]
-_BANDS = "bin bigint, band int, " + ", ".join(f"{h} bigint" for h in _MINIMA)
-_BANDS_ARROW = pa.schema([("bin", pa.int64()), ("band", pa.int32()), *((h, pa.int64()) for h in _MINIMA)])
+_BANDS = "bin bigint, n bigint, band int, " + ", ".join(f"{h} bigint" for h in _MINIMA)
+_BANDS_ARROW = pa.schema([("bin", pa.int64()), ("n", pa.int64()), ("band", pa.int32()), *((h, pa.int64()) for h in _MINIMA)])
 
 
 def _minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,6 +68,7 @@ def _minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.repeat(batch.column("bin").to_numpy(), BANDS)),
+                    pa.array(np.repeat(batch.column("n").to_numpy(), BANDS)),
                     pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(parts))),
                     *(pa.array(x.ravel()) for x in out),
                 ],
@@ -76,19 +77,19 @@ def _minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def buckets(picked: DataFrame) -> DataFrame:
-    """(bin, band, bucket): the bucket of each set in every band."""
-    columns = ["bin", "bits", "run"]
+    """(bin, n, band, bucket): the bucket of each set, of ``n`` values, in every band."""
+    columns = ["bin", "n", "bits", "run"]
     single = picked.filter("bits = 0").select(*columns).mapInArrow(_minima, _BANDS)
     flip = F.lit(-(2**63)).cast("bigint")  # unsigned order
     several = (
         picked.filter("bits > 0")
         .select(*columns)
         .mapInArrow(_minima, _BANDS)
-        .groupBy("bin", "band")
+        .groupBy("bin", "n", "band")
         .agg(*[F.min(F.col(h).bitwiseXOR(flip)).alias(h) for h in _MINIMA])
-        .select("bin", "band", *[F.col(h).bitwiseXOR(flip).alias(h) for h in _MINIMA])
+        .select("bin", "n", "band", *[F.col(h).bitwiseXOR(flip).alias(h) for h in _MINIMA])
     )
-    return written(single.unionByName(several).select("bin", "band", F.xxhash64("band", *_MINIMA).alias("bucket")), "bands")
+    return written(single.unionByName(several).select("bin", "n", "band", F.xxhash64("band", *_MINIMA).alias("bucket")), "bands")
 
 
 def links(bands: DataFrame, picked: DataFrame, reps: DataFrame, least: float) -> DataFrame:
@@ -99,17 +100,15 @@ def links(bands: DataFrame, picked: DataFrame, reps: DataFrame, least: float) ->
     are left out that cannot be similar, as their distances to the hub differ
     by more than the allowed distance; all the rest are compared.
     """
-    n = reps.select("bin", "n")
-    order = F.xxhash64("bin", F.col("band") % F.lit(ORDERS))
+    order = F.xxhash64("bin", F.col("band") % F.lit(ORDERS))  # no two bins of a band have the same
     # One shuffle brings a bucket's members together, for its hub and for the join with it.
     met = bands.repartition("bucket")
     hubs = (
         met.groupBy("bucket")
-        .agg(F.min_by("bin", order).alias("hub"), F.count(F.lit(1)).alias("size"))
+        .agg(F.min_by("bin", order).alias("hub"), F.min_by("n", order).alias("nh"), F.count(F.lit(1)).alias("size"))
         .filter("size > 1")
     )
-    members = met.join(hubs, "bucket").filter("bin <> hub").join(n, "bin").join(n.withColumnsRenamed({"bin": "hub", "n": "nh"}), "hub")
-    members = written(members.select("bucket", "size", "bin", "n", "hub", "nh"), "members")
+    members = written(met.join(hubs, "bucket").filter("bin <> hub").select("bucket", "size", "bin", "n", "hub", "nh"), "members")
     pair = [F.least("bin", "hub").alias("bin"), F.greatest("bin", "hub").alias("hub")]
     alike = F.least("n", "nh") >= F.lit(least) * F.greatest("n", "nh")
     spokes = written(members.filter(alike).select(*pair).distinct(), "near")
@@ -160,12 +159,12 @@ def components(edges: DataFrame, a: str = "bin", b: str = "hub") -> DataFrame:
 
     Alternates the two star operations: every node first hands its larger
     neighbours, then its smaller ones, to the smallest node it knows, until
-    nothing changes. Each step is a written table, so the plan stays short and
-    a lost executor costs one step.
+    only stars around smallest nodes are left. Each step is a written table, so
+    the plan stays short and a lost executor costs one step.
     """
     spark = edges.sparkSession
+    ends = [F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(2).alias("up"))]
     now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "stars")
-    seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
@@ -178,12 +177,14 @@ def components(edges: DataFrame, a: str = "bin", b: str = "hub") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         then = written(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "stars")
-        state = then.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         forget(spark, now)
         now = then
-        if state == seen:
+        # In a star every node has one smaller neighbour, or is the smallest itself.
+        nodes = now.select(F.inline(F.array(*ends))).groupBy("node").agg(
+            F.count_if(F.col("up") == 1).alias("ups"), F.max("up").alias("most")
+        )
+        if nodes.filter("ups > 1 or ups = 1 and most = 2").isEmpty():
             break
-        seen = state
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
@@ -222,13 +223,14 @@ def best_nearby(edges: DataFrame, scored: DataFrame) -> DataFrame:
     return best.select("bin", F.col("best.bin").alias("medoid")).join(medoids, "medoid", "left_semi")
 
 
-def _conflicts(pairs: DataFrame, picked: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """(closer, bin): those of ``pairs`` (bin, hub), the closer as ``bin``, that are not similar."""
+def _conflicts(pairs: DataFrame, picked: DataFrame, reps: DataFrame, least: float) -> DataFrame | None:
+    """(closer, bin): those of ``pairs`` (bin, hub), the closer as ``bin``, that are not similar; None if all are."""
     pairs = written(pairs, "doubtful")
     if pairs.isEmpty():
-        return pairs.toDF("closer", "bin")
+        return None
     unlike = runs.shared_counts(pairs, picked, reps).filter(_similarity() < least)
-    return written(unlike.select(F.col("bin").alias("closer"), F.col("hub").alias("bin")), "conflicts")
+    found = written(unlike.select(F.col("bin").alias("closer"), F.col("hub").alias("bin")), "conflicts")
+    return None if found.isEmpty() else found
 
 
 def fitting(star: DataFrame, picked: DataFrame, reps: DataFrame, least: float) -> DataFrame:
@@ -243,19 +245,20 @@ def fitting(star: DataFrame, picked: DataFrame, reps: DataFrame, least: float) -
 
     place = F.row_number().over(Window.partitionBy("medoid").orderBy("far", "bin"))
     first = written(star.withColumn("place", place).filter(F.col("place") <= FIRST).drop("place"), "first")
-    out = dropped(_conflicts(pairs(first, first, ["medoid"]), picked, reps, least))
-    kept = written(first.join(out, "bin", "left_anti"), "kept")
+    found = _conflicts(pairs(first, first, ["medoid"]), picked, reps, least)
+    kept = first if found is None else written(first.join(dropped(found), "bin", "left_anti"), "kept")
     rest = written(star.join(first.select("bin"), "bin", "left_anti"), "rest")
     if rest.isEmpty():
         return kept
-    out = _conflicts(pairs(rest, kept, ["medoid"]), picked, reps, least).select("bin").distinct()
-    rest = written(rest.join(out, "bin", "left_anti"), "rest")
+    found = _conflicts(pairs(rest, kept, ["medoid"]), picked, reps, least)
+    if found is not None:
+        rest = written(rest.join(found.select("bin").distinct(), "bin", "left_anti"), "rest")
     salts = rest.groupBy("medoid").agg(F.ceil(F.count(F.lit(1)) / F.lit(SPREAD)).cast("int").alias("salts"))
     salted = rest.join(salts, "medoid")
     x = salted.withColumn("salt", F.pmod(F.xxhash64("bin"), F.col("salts").cast("bigint")).cast("int")).drop("salts")
     y = salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    out = dropped(_conflicts(pairs(x, y, ["medoid", "salt"]), picked, reps, least))
-    return kept.unionByName(rest.join(out, "bin", "left_anti"))
+    found = _conflicts(pairs(x, y, ["medoid", "salt"]), picked, reps, least)
+    return kept.unionByName(rest if found is None else rest.join(dropped(found), "bin", "left_anti"))
 
 
 def clusters(
@@ -285,15 +288,16 @@ def _clusters(bins: DataFrame, nodes: DataFrame, positions: DataFrame | None, le
 
     bands = buckets(picked)
     edges = links(bands, picked, reps, least)
-    place = reps.select("bin").withColumn("place", F.lit(None).cast("bigint"))
-    if positions is not None:
-        where = positions.groupBy(F.col("user_bin_id").alias("bin")).agg(F.min("positions").alias("place"))
-        place = reps.select("bin").join(where, "bin", "left")
     degrees = (
         edges.select("bin").unionAll(edges.select("hub")).groupBy("bin").agg(F.count(F.lit(1)).alias("degree"))
     )
+    if positions is None:
+        placed = degrees.withColumn("place", F.lit(None).cast("bigint"))
+    else:
+        where = positions.groupBy(F.col("user_bin_id").alias("bin")).agg(F.min("positions").alias("place"))
+        placed = degrees.join(where, "bin", "left")
     rank = F.struct((-F.col("degree")).alias("links"), F.coalesce("place", F.lit(2**62)).alias("place"), F.col("bin"))
-    scored = written(degrees.join(place, "bin").select("bin", "degree", rank.alias("rank")), "scored")
+    scored = written(placed.select("bin", "degree", rank.alias("rank")), "scored")
 
     done = None
     rest = edges
@@ -322,19 +326,18 @@ def _clusters(bins: DataFrame, nodes: DataFrame, positions: DataFrame | None, le
 
     if done is None:
         done = reps.select("bin", F.col("bin").alias("medoid"), F.lit(1.0).alias("similarity")).limit(0)
-    of_reps = (
-        reps.select("bin")
+    filled = (
+        sets.select(F.col("bin").alias("user_bin_id"), F.col("rep").alias("bin"))
         .join(done, "bin", "left")
         .join(scored.select("bin", "degree"), "bin", "left")
         .select(
-            F.col("bin").alias("rep"),
+            "user_bin_id",
             F.coalesce("medoid", "bin").alias("cluster"),
             F.coalesce("similarity", F.lit(1.0)).alias("similarity"),
             F.coalesce("degree", F.lit(0)).alias("degree"),
         )
     )
-    filled = sets.select(F.col("bin").alias("user_bin_id"), "rep").join(of_reps, "rep").drop("rep")
-    bare = leaves.join(filled.select("user_bin_id"), "user_bin_id", "left_anti").select(
+    bare = leaves.join(sets.select(F.col("bin").alias("user_bin_id")), "user_bin_id", "left_anti").select(
         "user_bin_id", F.col("user_bin_id").alias("cluster"), F.lit(1.0).alias("similarity"), F.lit(0).cast("bigint").alias("degree")
     )
     return filled.unionByName(bare)

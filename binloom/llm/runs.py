@@ -174,87 +174,86 @@ def sorted_runs(codes: DataFrame, sizes: DataFrame) -> DataFrame:
     return cut.repartition("bin", "r").sortWithinPartitions("bin", "r", "code").mapInArrow(_runs, _RUNS)
 
 
-_SLICE = "hub bigint, r bigint, salt int, bin bigint, run binary"
-_SLICE_ARROW = pa.schema([("hub", pa.int64()), ("r", pa.int64()), ("salt", pa.int32()), ("bin", pa.int64()), ("run", pa.binary())])
+_SLICE = "hub bigint, r bigint, salt int, bin bigint, n_bin bigint, n_hub bigint, run binary"
+_SLICE_ARROW = pa.schema(
+    [("hub", pa.int64()), ("r", pa.int64()), ("salt", pa.int32()), *((c, pa.int64()) for c in ("bin", "n_bin", "n_hub")), ("run", pa.binary())]
+)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut runs into the finer ranges of their hubs."""
+    """Name the range of their hub that runs are in, and cut those that are in several."""
     for batch in batches:
+        bits, hub_bits = (batch.column(c).to_numpy() for c in ("bits", "hub_bits"))
+        if (hub_bits <= bits).all():
+            r = pa.array(batch.column("r").to_numpy() >> (bits - hub_bits))
+            yield pa.RecordBatch.from_arrays([r if c == "r" else batch.column(c) for c in _SLICE_ARROW.names], schema=_SLICE_ARROW)
+            continue
         out = []
         for row in batch.to_pylist():
+            same = (row["salt"], row["bin"], row["n_bin"], row["n_hub"])
+            if row["hub_bits"] <= row["bits"]:
+                out.append((row["hub"], row["r"] >> (row["bits"] - row["hub_bits"]), *same, row["run"]))
+                continue
             codes = decode(row["run"])
             r = codes.view(np.uint64) >> np.uint64(64 - row["hub_bits"])
             starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
             for start, end in zip(starts, np.r_[starts[1:], len(r)]):
-                out.append((row["hub"], int(r[start]), row["salt"], row["bin"], encode(codes[start:end])))
-        if out:
-            yield _batch(out, _SLICE_ARROW)
+                out.append((row["hub"], int(r[start]), *same, encode(codes[start:end])))
+        yield _batch(out, _SLICE_ARROW)
+
+
+_SHARED = "bin bigint, hub bigint, n_bin bigint, n_hub bigint, shared bigint"
+_SHARED_ARROW = pa.schema([(c, pa.int64()) for c in ("bin", "hub", "n_bin", "n_hub", "shared")])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each hub run against the runs that follow it; the hub's has a null ``bin``."""
-    schema = pa.schema([("bin", pa.int64()), ("hub", pa.int64()), ("shared", pa.int64())])
     key, hub = None, None
     for batch in batches:
         out = []
-        columns = [batch.column(c).to_pylist() for c in ("hub", "r", "salt", "bin", "run")]
-        for owner, r, salt, other, run in zip(*columns):
+        columns = [batch.column(c).to_pylist() for c in ("hub", "r", "salt", "bin", "n_bin", "n_hub", "run")]
+        for owner, r, salt, other, n_bin, n_hub, run in zip(*columns):
             if other is None:
                 key, hub = (owner, r, salt), decode(run)
-            elif key == (owner, r, salt):
-                count = shared(decode(run), hub)
-                if count:
-                    out.append((other, owner, count))
+            else:
+                out.append((other, owner, n_bin, n_hub, shared(decode(run), hub) if key == (owner, r, salt) else 0))
         if out:
-            yield _batch(out, schema)
+            yield _batch(out, _SHARED_ARROW)
 
 
 def shared_counts(pairs: DataFrame, runs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(bin, hub, shared, n_bin, n_hub) for ``pairs`` (bin, hub); 0 where nothing is shared.
+    """(bin, hub, shared, n_bin, n_hub) for ``pairs`` (bin, hub) of sets with runs; 0 where nothing is shared.
 
     A hub's run is sent once to each task that needs it, and the runs of its
     partners, cut to the hub's ranges, stream past it, so a pair costs the size
     of its ``bin`` however large the hub is. Hubs with more than ``PARTNERS``
-    partners are spread over several tasks.
+    partners are spread over several tasks. The sizes travel with the runs, and
+    each run that streams past gives a row, so nothing is joined to the counts:
+    every join is planned, and broadcast while small, by the driver.
     """
-    n = sizes.select(F.col("bin").alias("__id"), F.col("n").alias("__n"))
-    sized = (
-        pairs.select("bin", "hub")
-        .join(n.withColumnsRenamed({"__id": "hub", "__n": "n_hub"}), "hub")
-        .join(n.withColumnsRenamed({"__id": "bin", "__n": "n_bin"}), "bin")
-    )
+    n = sizes.select(F.col("bin").alias("hub"), F.col("n").alias("n_hub"))
     salts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(PARTNERS)).cast("int").alias("salts"))
     legs = (
-        sized.join(salts, "hub")
+        pairs.select("bin", "hub")
+        .join(salts.join(n, "hub"), "hub")
         .withColumn("salt", F.pmod(F.xxhash64("bin"), F.col("salts").cast("bigint")).cast("int"))
         .withColumn("hub_bits", range_bits(F.col("n_hub")))
-        .join(runs.select("bin", "bits", "r", "run"), "bin")
-    )
-    coarse = legs.filter("hub_bits <= bits").select(
-        "hub",
-        F.when(F.col("hub_bits") == 0, F.lit(0).cast("bigint"))
-        .otherwise(F.call_function("shiftrightunsigned", F.col("r"), F.col("bits") - F.col("hub_bits")))
-        .alias("r"),
-        "salt",
-        "bin",
-        "run",
+        .join(runs.select("bin", "bits", "r", F.col("n").alias("n_bin"), "run"), "bin")
+        .select("hub", "hub_bits", "bits", "r", "salt", "bin", "n_bin", "n_hub", "run")
+        .mapInArrow(_cut, _SLICE)
     )
-    fine = legs.filter("hub_bits > bits").select("hub", "hub_bits", "salt", "bin", "run").mapInArrow(_cut, _SLICE)
+    none = F.lit(None).cast("bigint")
     hubs = (
         salts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
         .join(runs.select(F.col("bin").alias("hub"), "r", "run"), "hub")
-        .select("hub", "r", "salt", F.lit(None).cast("bigint").alias("bin"), "run")
+        .select("hub", "r", "salt", none.alias("bin"), none.alias("n_bin"), none.alias("n_hub"), "run")
     )
-    counts = (
-        hubs.unionByName(coarse)
-        .unionByName(fine)
+    return (
+        hubs.unionByName(legs)
         .repartition("hub", "r", "salt")
         .sortWithinPartitions("hub", "r", "salt", F.col("bin").asc_nulls_first())
-        .mapInArrow(_compare, "bin bigint, hub bigint, shared bigint")
-        .groupBy("bin", "hub")
+        .mapInArrow(_compare, _SHARED)
+        .groupBy("bin", "hub", "n_bin", "n_hub")
         .agg(F.sum("shared").alias("shared"))
-    )
-    return sized.join(counts, ["bin", "hub"], "left").select(
-        "bin", "hub", F.coalesce("shared", F.lit(0)).alias("shared"), "n_bin", "n_hub"
+        .select("bin", "hub", "shared", "n_bin", "n_hub")
     )

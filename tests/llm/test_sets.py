@@ -177,6 +177,33 @@ def test_long_chains_are_split_around_many_medoids(spark):
     assert len(chosen) > 3 and all(abs(a - b) > clusters.HOPS for a, b in itertools.combinations(chosen, 2))
 
 
+def test_the_driver_plans_few_joins(spark, monkeypatch):
+    """Small tables are broadcast from the driver's heap, in every join of every table that is written."""
+    joins, write = [], clusters.written
+
+    def counted(df, *args):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return write(df, *args)
+
+    monkeypatch.setattr(clusters, "written", counted)
+    rng = random.Random(4)
+    base = range(90)
+    check(spark, {b: set(rng.sample(base, 60)) for b in range(20)})  # more than FIRST, with doubtful pairs
+    assert max(joins) <= 4
+
+
+def test_counts_of_sets_of_nothing_in_common(spark, monkeypatch):
+    """Zeros come out too, also where the hub has no run in a range."""
+    monkeypatch.setattr(runs, "RUN", 4)
+    sets = {1: set(range(40)), 2: set(range(100, 103)), 3: {5, 200}, 4: set(range(300, 420))}
+    codes = runs.distinct_codes(frame(spark, sets)).persist()
+    sizes = runs.classes(codes).select("bin", "n").persist()
+    pairs = spark.createDataFrame([*itertools.permutations(sets, 2)], "bin bigint, hub bigint")
+    got = runs.shared_counts(pairs, runs.sorted_runs(codes, sizes), sizes).collect()
+    expected = [(a, b, len(sets[a] & sets[b]), len(sets[a]), len(sets[b])) for a, b in itertools.permutations(sets, 2)]
+    assert sorted(map(tuple, got)) == expected
+
+
 def test_members(spark):
     rows = [(5, 7, 1.0, 1), (7, 7, 1.0, 1), (9, 9, 1.0, 0)]
     grouped = spark.createDataFrame(rows, "user_bin_id bigint, cluster bigint, similarity double, degree bigint")
